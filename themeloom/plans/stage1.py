@@ -15,10 +15,11 @@ from themeloom.operators.completion import complete
 from themeloom.operators.grouping import has_later_blocks, topic_leaders
 from themeloom.operators.merging import article_records, merge_topics
 from themeloom.operators.responder import topic_answers
+from themeloom.operators.storage import written
 from themeloom.operators.terms import tfidf_vectors, with_terms
 from themeloom.settings import Settings
 
-BLANK_LINES = r"\n\s*\n"
+LINE_END = "\n"
 
 
 def topic_vectors(topics: DataFrame, key: str, settings: Settings) -> DataFrame:
@@ -55,8 +56,8 @@ def records_of(articles: DataFrame, topics: DataFrame, key: str, settings: Setti
 
 
 def segments_of(articles: DataFrame, key: str) -> DataFrame:
-    """Paragraphs of each article as ``key, segment_no, text``."""
-    pieces = F.filter(F.split("content", BLANK_LINES), lambda p: F.trim(p) != "")
+    """Non-blank lines of each article as ``key, segment_no, text``."""
+    pieces = F.filter(F.split("content", LINE_END), lambda p: F.trim(p) != "")
     return articles.select(key, F.posexplode(pieces).alias("segment_no", "text"))
 
 
@@ -109,9 +110,11 @@ def stage1(
     """
     if responses is None:
         responses = topic_responses(articles, key, settings, None)
-    parsed = parsed_responses(articles, responses, key)
+    # read by vectors, merging and records alike
+    parsed = written(parsed_responses(articles, responses, key))
+    topics = written(topics_of(parsed, key))
     kept = [c for c in articles.columns if c not in ("content", "error")]
     outcome = articles.join(
         parsed.select(key, F.col("error").alias("_failed")), key, "left"
     ).select(*kept, F.coalesce("error", "_failed").alias("error"))
-    return records_of(outcome, topics_of(parsed, key), key, settings)
+    return records_of(outcome, topics, key, settings)

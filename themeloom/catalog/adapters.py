@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import bigrams, tokens, word_count
 from themeloom.operators.responder import first_sentence
+from themeloom.sources.tables import read_table
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", TEXT_KEYS.get(name))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

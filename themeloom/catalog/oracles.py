@@ -94,7 +94,8 @@ SELECT doc_id, style,
   CASE WHEN NOT contains(style, 'Heading') THEN NULL
     WHEN contains(style, 'Heading 1') THEN 1 WHEN contains(style, 'Heading 2') THEN 2
     WHEN contains(style, 'Heading 3') THEN 3 WHEN contains(style, 'Heading 4') THEN 4
-    ELSE coalesce(least(try_cast(regexp_extract(style, '[0-9]+') AS INT), 6), 1) END AS level,
+    WHEN NOT regexp_matches(style, '[0-9]') THEN 1
+    ELSE least(CAST(regexp_extract(style, '[0-9]+') AS INT), 6) END AS level,
   CASE WHEN regexp_matches(lower(style), 'heading [1-6]')
     THEN CAST(regexp_extract(lower(style), 'heading ([1-6])', 1) AS INT) END AS plain_level
 FROM s"""
@@ -190,16 +191,21 @@ topics2 AS (SELECT * EXCLUDE (pairs),
     list_filter(pairs, lambda p, i: list_position(pairs, p) = i)[1:3] AS phrases FROM topics)"""
 
 
-def tfidf(source: str, keys: str, within: str, limit: int, pairs: bool, body: str) -> str:
-    """CTEs ``tf``, ``vocab``, ``vec(keys, term, slot, w)`` over rows of ``source``."""
+def tfidf(
+    source: str, keys: str, within: str, limit: int, pairs: bool, body: str, p: str = ""
+) -> str:
+    """CTEs ``tf``, ``vocab``, ``vec(keys, term, slot, w)`` over rows of ``source``.
+
+    ``p`` is put before the names, for a second fit in one statement.
+    """
     on = f"{within}, " if within else ""
     part = f"PARTITION BY {within}" if within else ""
     grams = (
-        f"""SELECT {keys}, term FROM uni UNION ALL
+        f"""SELECT {keys}, term FROM {p}uni UNION ALL
         SELECT {keys}, term || ' ' || nxt FROM (SELECT {keys}, term,
-          lead(term) OVER (PARTITION BY {keys} ORDER BY pos) AS nxt FROM uni) WHERE nxt IS NOT NULL"""
+          lead(term) OVER (PARTITION BY {keys} ORDER BY pos) AS nxt FROM {p}uni) WHERE nxt IS NOT NULL"""
         if pairs
-        else f"SELECT {keys}, term FROM uni"
+        else f"SELECT {keys}, term FROM {p}uni"
     )
     sizes = (
         f"(SELECT {within}, count(*) AS n FROM {source} GROUP BY {within})"
@@ -207,18 +213,18 @@ def tfidf(source: str, keys: str, within: str, limit: int, pairs: bool, body: st
         else f"(SELECT count(*) AS n FROM {source})"
     )
     join_sizes = f"JOIN {sizes} z USING ({within})" if within else f", {sizes} z"
-    return f"""tok AS (SELECT {keys}, unnest({toks(body)}) AS term,
+    return f"""{p}tok AS (SELECT {keys}, unnest({toks(body)}) AS term,
     generate_subscripts({toks(body)}, 1) AS pos FROM {source}),
-uni AS (SELECT * FROM tok WHERE term NOT IN (SELECT w FROM stop)),
-grams AS ({grams}),
-tf AS (SELECT {keys}, term, count(*) AS tf FROM grams GROUP BY ALL),
-stat AS (SELECT {on} term, sum(tf)::BIGINT AS cf, count(*) AS df FROM tf GROUP BY ALL),
-vocab AS (SELECT *, row_number() OVER ({part} ORDER BY cf DESC, term) AS slot FROM stat
+{p}uni AS (SELECT * FROM {p}tok WHERE term NOT IN (SELECT w FROM stop)),
+{p}grams AS ({grams}),
+{p}tf AS (SELECT {keys}, term, count(*) AS tf FROM {p}grams GROUP BY ALL),
+{p}stat AS (SELECT {on} term, sum(tf)::BIGINT AS cf, count(*) AS df FROM {p}tf GROUP BY ALL),
+{p}vocab AS (SELECT *, row_number() OVER ({part} ORDER BY cf DESC, term) AS slot FROM {p}stat
   QUALIFY slot <= {limit}),
-raw AS (SELECT {keys}, term, slot, tf * (ln((1 + n) / (1 + df)) + 1) AS raw
-  FROM tf JOIN vocab USING ({on} term) {join_sizes}),
-vec AS (SELECT {keys}, term, slot,
-  raw / sqrt(sum(raw * raw) OVER (PARTITION BY {keys})) AS w FROM raw)"""
+{p}raw AS (SELECT {keys}, term, slot, tf * (ln((1 + n) / (1 + df)) + 1) AS raw
+  FROM {p}tf JOIN {p}vocab USING ({on} term) {join_sizes}),
+{p}vec AS (SELECT {keys}, term, slot,
+  raw / sqrt(sum(raw * raw) OVER (PARTITION BY {keys})) AS w FROM {p}raw)"""
 
 
 TOPIC_TEXT = "name || ' ' || description || ' ' || array_to_string(phrases, ' ')"
@@ -230,13 +236,13 @@ SIMS = """sims AS (
 VECTORS = f"{STOP}, {TOPICS}, {WITHIN}, {SIMS}"
 
 
-def leaders(threshold: float) -> str:
-    return f"""{VECTORS},
+def leaders(threshold: float, vectors: str = VECTORS) -> str:
+    return f"""{vectors},
 adj AS (SELECT conv_id, j AS turn, list(i) AS nb FROM sims WHERE sim > {threshold} GROUP BY ALL),
 ordered AS (SELECT conv_id, turn, coalesce(nb, []) AS nb,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn,
     count(*) OVER (PARTITION BY conv_id) AS n
-  FROM conversations LEFT JOIN adj USING (conv_id, turn)),
+  FROM topics2 LEFT JOIN adj USING (conv_id, turn)),
 walk AS (
   SELECT conv_id, rn, turn, [turn] AS found, turn AS leader FROM ordered WHERE rn = 1
   UNION ALL
@@ -419,15 +425,15 @@ SELECT conv_id, clustered_count FROM rec WHERE error IS NULL AND clustered_count
 
 def segments(source: str, keys: str, key: str, number: str) -> str:
     """The built-in topics of the segments in ``source``."""
-    base = tfidf(source, keys, key, 1_000_000_000, False, "text")
+    base = tfidf(source, keys, key, 1_000_000_000, False, "text", "seg_")
     return f"""{STOP}, {base},
-rated AS (SELECT {keys}, term, round(raw, 6) AS w FROM raw),
+rated AS (SELECT {keys}, term, round(raw, 6) AS w FROM seg_raw),
 heads AS (SELECT {keys}, round(sum(w), 4) AS mass,
     array_to_string(list(term ORDER BY w DESC, term)[1:3], ' ') AS name FROM rated GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY mass DESC, {number}) AS rank
   FROM heads QUALIFY rank <= {S.max_topics}),
 firsts AS (SELECT {keys}, pair, min(pos) AS pos FROM (SELECT {keys}, pos, term || ' '
-    || lead(term) OVER (PARTITION BY {keys} ORDER BY pos) AS pair FROM uni)
+    || lead(term) OVER (PARTITION BY {keys} ORDER BY pos) AS pair FROM seg_uni)
   WHERE pair IS NOT NULL GROUP BY ALL),
 phrases AS (SELECT {keys}, list(pair ORDER BY pos)[1:3] AS phrases FROM firsts GROUP BY ALL),
 found AS (SELECT {keys}, rank - 1 AS topic_no, name, {SENTENCE.format('text')} AS description,
@@ -441,6 +447,23 @@ SELECT conv_id, topic_no, name, description, {joined('phrases')} AS key_phrases,
   text AS supporting_quotes FROM found"""
 
 
+DOCUMENT_TOPICS = f"""segs AS (
+  SELECT doc_id AS conv_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS turn, line AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+          generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+  WHERE trim(line) <> ''),
+{segments('segs', 'conv_id, turn', 'conv_id', 'turn')},
+topics2 AS (SELECT conv_id, topic_no AS turn, name, description, phrases, importance FROM found),
+{WITHIN}, {SIMS}"""
+ORACLES["stage1_documents"] = f"""
+WITH RECURSIVE {leaders(S.similarity_threshold, DOCUMENT_TOPICS)},
+counts AS (SELECT conv_id, count(*) AS n, count(DISTINCT leader) AS m FROM led GROUP BY 1)
+SELECT doc_id, source || '_' || doc_id || '.md' AS filename, len({words('text')})::BIGINT AS word_count,
+  coalesce(n, 0) AS topics_count, coalesce(m, 0) AS clustered_count,
+  coalesce(round_even((n - m) / n, 2)::DOUBLE, 0) AS reduction_ratio, NULL::VARCHAR AS error
+FROM documents LEFT JOIN counts ON conv_id = doc_id"""
+
+
 # --- themes and clusters -------------------------------------------------------------
 
 ORACLES["builtin_themes"] = f"""
@@ -580,7 +603,7 @@ wanted AS (SELECT term, weight / max(weight) OVER () AS relevance FROM near UNIO
   SELECT unnest([{', '.join(text(q) for q in QUESTION)}]), 1.0),
 local AS (SELECT doc_id, chunk_no, round(sum(relevance), 6) AS score,
     row_number() OVER (ORDER BY round(sum(relevance), 6) DESC, doc_id, chunk_no) AS rank
-  FROM picked JOIN wanted USING (term) GROUP BY ALL QUALIFY rank <= {K})"""
+  FROM picked JOIN wanted USING (term) GROUP BY doc_id, chunk_no QUALIFY rank <= {K})"""
 GLOBAL = f"""globally AS (SELECT a.doc_id, a.chunk_no, sum(weight)::DOUBLE AS score,
     row_number() OVER (ORDER BY sum(weight) DESC, a.doc_id, a.chunk_no) AS rank
   FROM picked a JOIN picked b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no

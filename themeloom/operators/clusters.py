@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from themeloom import fixed
 from themeloom.functions.prompts import theme_line
+from themeloom.operators.storage import written
 
 ROWS_PER_PARTITION = 20_000
+PARALLEL_STARTS = 5
 
 
 @dataclass(frozen=True)
@@ -49,21 +52,28 @@ def fit_kmeans(
         .sortWithinPartitions(key)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    best = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(laid_out)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost, seed)
-    model, cost, seed = best
+
+    def start(seed: int):
+        # the block solver fails when equal points leave fewer than k centres
+        means = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, solver="row")
+        model = means.fit(laid_out)
+        return model.summary.trainingCost, seed, model
+
+    laid_out.count()
+    # the starts are independent and their jobs short, so they share the executors
+    with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
+        started = pool.map(inheritable_thread_target(vectors.sparkSession)(start), seeds)
+        cost, seed, model = min(started, key=lambda s: (s[0], s[1]))
     labelled = model.transform(laid_out).select(key, "prediction")
     # one row per cluster
     lowest = labelled.groupBy("prediction").agg(F.min(key).alias("lowest")).collect()
     order = [r["prediction"] for r in sorted(lowest, key=lambda r: r["lowest"])]
     number = F.coalesce(*[F.when(F.col("prediction") == p, F.lit(i)) for i, p in enumerate(order)])
     centres = model.clusterCenters()
+    assigned = written(labelled.select(key, number.cast("int").alias("cluster_number")))
+    laid_out.unpersist()
     return Clustering(
-        labelled.select(key, number.cast("int").alias("cluster_number")),
+        assigned,
         [centres[p].tolist() for p in order],
         cost,
         seed,

@@ -18,7 +18,6 @@ from themeloom.operators.storage import written
 SUMS = "array<struct<pos: int, cluster: int, total: double, n: bigint>>"
 
 
-@F.pandas_udf(SUMS)
 def _distance_sums(
     points: pd.Series,
     sizes: pd.Series,
@@ -96,7 +95,7 @@ def silhouette_points(
             F.col("flat").alias("o_flat"),
         )
     summed = both.withColumn(
-        "s", _distance_sums("flat", F.size("keys"), "o_flat", "o_clusters", "o_copies")
+        "s", F.pandas_udf(_distance_sums, SUMS)("flat", F.size("keys"), "o_flat", "o_clusters", "o_copies")
     )
     # look the point up before the explode, so that no row carries the block
     found = F.transform(

@@ -142,16 +142,17 @@ def stage2(
     k = settings.n_clusters
     if k is None:
         k = vectors.agg(cluster_count(F.count("*")).alias("k")).first()["k"]
+    k = min(k, articles)
     fitted = C.fit_kmeans(
         vectors,
         key,
         "features",
-        min(k, articles),
+        k,
         settings.kmeans_seeds,
         settings.kmeans_max_iter,
         settings.kmeans_tol,
     )
-    assigned = written(fitted.assigned)
+    assigned = fitted.assigned
     score = silhouette(
         assigned.join(vectors, key), key, "cluster_number", "features", settings.block_rows
     ).first()
@@ -159,7 +160,7 @@ def stage2(
     assigned_themes = themes_of(themes, key).join(assigned, key)
     analysis = cluster_analysis(assigned_themes, sizes, key, settings, respond)
     summary = stage2_summary(
-        stage1_summary(records), themes, key, len(fitted.centres), score["silhouette_score"]
+        stage1_summary(records), themes, key, k, score["silhouette_score"]
     )
     return Stage2(
         summary,

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import bigrams, tokens, word_count
 from themeloom.operators.responder import first_sentence
+from themeloom.operators.storage import written
 from themeloom.sources.tables import read_table
 
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+TEXT_KEYS = {
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,9 +58,12 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turn_topics(spark: SparkSession, folder: str) -> DataFrame:
-    """Every turn of a conversation as a topic; one in five has no importance."""
+    """Every turn of a conversation as a topic; one in five has no importance.
+
+    Written, as the stages write their topics, since several steps read them.
+    """
     turns = table(spark, folder, "conversations").withColumn("_t", tokens(F.col("text")))
-    return turns.select(
+    topics = turns.select(
         "conv_id",
         F.col("turn").cast("int").alias("topic_no"),
         F.array_join(F.slice("_t", 1, 3), " ").alias("name"),
@@ -66,6 +74,7 @@ def turn_topics(spark: SparkSession, folder: str) -> DataFrame:
         .alias("importance"),
         F.array("role", first_sentence(F.col("text"))).alias("supporting_quotes"),
     )
+    return written(topics)
 
 
 def readable_turn_topics(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +112,8 @@ def turn_answers(spark: SparkSession, folder: str) -> DataFrame:
 def document_themes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document with two themes; every eleventh strength is missing.
 
-    ``cluster_number`` stands for a found cluster: one per language.
+    ``cluster_number`` stands for a found cluster: one per language. Written, as
+    stage 2 writes its themes.
     """
     toks = table(spark, folder, "documents").withColumn("_t", tokens(F.col("text")))
     strength = F.when(F.col("doc_id") % 11 != 10, F.col("doc_id") % 11).cast("double")
@@ -117,7 +127,7 @@ def document_themes(spark: SparkSession, folder: str) -> DataFrame:
             coverage.alias("coverage"),
         )
 
-    return toks.select(
+    rows = toks.select(
         "doc_id",
         F.ascii("lang").alias("cluster_number"),
         F.lit(0).alias("part_no"),
@@ -132,6 +142,7 @@ def document_themes(spark: SparkSession, folder: str) -> DataFrame:
         F.size("_t").alias("source_topics_count"),
         F.when(F.col("doc_id") % 13 == 12, F.lit("json_parse_failed")).alias("error"),
     )
+    return written(rows)
 
 
 def page_blocks(spark: SparkSession, folder: str) -> DataFrame:

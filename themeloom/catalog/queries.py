@@ -192,16 +192,15 @@ def theme_prompts(spark, folder):
     return lists.select("conv_id", P.theme_prompt(F.col("clustered_topics")).alias("prompt"))
 
 
-def _cluster_themes(spark, folder):
-    rows = D.document_themes(spark, folder)
-    long = two.themes_of(rows, "doc_id")
-    return long.join(rows.select("doc_id", "cluster_number"), "doc_id")
+def _cluster_themes(rows):
+    return two.themes_of(rows, "doc_id", "cluster_number")
 
 
 @query
 def cluster_prompts(spark, folder):
-    sizes = C.cluster_sizes(D.document_themes(spark, folder))
-    lines = C.shown_theme_lines(_cluster_themes(spark, folder), "doc_id", Settings().shown_themes)
+    rows = D.document_themes(spark, folder)
+    sizes = C.cluster_sizes(rows)
+    lines = C.shown_theme_lines(_cluster_themes(rows), "doc_id", Settings().shown_themes)
     return sizes.join(lines, "cluster_number").select(
         "cluster_number", P.cluster_prompt(F.col("size"), F.col("lines")).alias("prompt")
     )
@@ -530,20 +529,21 @@ def cluster_members(spark, folder):
 
 @query
 def cluster_themes_top20(spark, folder):
-    shown = C.shown_themes(_cluster_themes(spark, folder), "doc_id", Settings().shown_themes)
+    themes = _cluster_themes(D.document_themes(spark, folder))
+    shown = C.shown_themes(themes, "doc_id", Settings().shown_themes)
     return shown.select("cluster_number", "shown_no", "doc_id", "theme_no", "name", "description")
 
 
 @query
 def cluster_theme_counts(spark, folder):
-    found = C.cluster_theme_counts(_cluster_themes(spark, folder))
+    found = C.cluster_theme_counts(_cluster_themes(D.document_themes(spark, folder)))
     return found.withColumn("mean_strength", F.round("mean_strength", 6))
 
 
 @query
 def builtin_cluster_analysis(spark, folder):
-    themes = _cluster_themes(spark, folder)
-    sizes = C.cluster_sizes(D.document_themes(spark, folder))
+    rows = D.document_themes(spark, folder)
+    themes, sizes = _cluster_themes(rows), C.cluster_sizes(rows)
     found = two.cluster_analysis(themes, sizes, "doc_id", Settings(), None)
     return found.select(
         "cluster_id",
@@ -565,8 +565,8 @@ def builtin_cluster_analysis(spark, folder):
 @query
 def cluster_fallback_names(spark, folder):
     """Clusters joined to answers of which some could not be read."""
-    sizes = C.cluster_sizes(D.document_themes(spark, folder))
-    themes = _cluster_themes(spark, folder)
+    rows = D.document_themes(spark, folder)
+    themes, sizes = _cluster_themes(rows), C.cluster_sizes(rows)
     answers = B.cluster_answers(themes).where(F.col("cluster_number") % 2 == 0)
     parsed = parsed_answers(answers, fixed.CLUSTER_ANSWER)
     return C.with_analysis(sizes, parsed).select(

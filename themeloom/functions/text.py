@@ -23,7 +23,7 @@ def clean_text(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"[^{fixed.WHITE}]+"), F.lit(0))
+    return F.array_remove(F.split(text, rf"[{fixed.WHITE}]+"), "")
 
 
 def word_count(text: Column) -> Column:

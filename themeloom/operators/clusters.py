@@ -20,7 +20,7 @@ from themeloom.functions.prompts import theme_line
 from themeloom.operators.storage import written
 
 ROWS_PER_PARTITION = 20_000
-PARALLEL_STARTS = 5
+PARALLEL_STARTS = 10
 
 
 @dataclass(frozen=True)

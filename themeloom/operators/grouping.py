@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from themeloom.operators.arrays import exploded
 from themeloom.operators.storage import written
 
 PAIR = "array<struct<a: int, b: int, sim: double>>"
@@ -205,11 +206,8 @@ def similar_pairs(
             F.get("_copies_r", p["b"]).alias("copies_j"),
         ),
     )
-    return (
-        both.withColumn("_pairs", found)
-        .select(*within, F.explode(named).alias("p"))
-        .select(*within, "p.*")
-    )
+    pairs = exploded(both.withColumn("_pairs", found), within, named, "p")
+    return pairs.select(*within, "p.*")
 
 
 def topic_leaders(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions.text import words
+from themeloom.operators.arrays import exploded
 from themeloom.operators.skew import salted_join
 from themeloom.operators.terms import idf, term_counts, term_statistics, with_terms
 
@@ -22,12 +23,16 @@ SALTS = 16
 def chunks(articles: DataFrame, key: str, content: str, size: int, overlap: int) -> DataFrame:
     """``key, chunk_no, text``: word windows of ``size``, overlapping; no shuffle."""
     step = size - overlap
-    split = articles.select(key, words(F.col(content)).alias("_words")).where(F.size("_words") > 0)
-    starts = F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))
+    split = articles.select(key, words(F.col(content)).alias("_words"))
+    # NULL for a text without words, and no filter that would split texts twice
+    starts = F.when(
+        F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))
+    )
     pieces = F.transform(
         starts, lambda s: F.array_join(F.slice("_words", s + 1, F.lit(size)), " ")
     )
-    return split.select(key, F.posexplode(pieces).alias("chunk_no", "text"))
+    out = split.select(key, F.posexplode_outer(pieces).alias("chunk_no", "text"))
+    return out.where(F.col("chunk_no").isNotNull())
 
 
 def hashed_vector(terms: Column, dim: int) -> Column:
@@ -133,7 +138,7 @@ def key_terms(
 
 def graph_nodes(keyed: DataFrame) -> DataFrame:
     return (
-        keyed.select(F.explode("terms").alias("term"))
+        exploded(keyed, [], "terms", "term")
         .groupBy("term")
         .agg(F.count("*").alias("chunks"))
     )
@@ -155,7 +160,7 @@ def _pairs(terms: Column) -> Column:
 def graph_edges(keyed: DataFrame) -> DataFrame:
     """``a, b, weight``: how many chunks share two key terms; a < b."""
     return (
-        keyed.select(F.explode(_pairs(F.col("terms"))).alias("e"))
+        exploded(keyed, [], _pairs(F.col("terms")), "e")
         .groupBy("e.a", "e.b")
         .agg(F.count("*").alias("weight"))
     )

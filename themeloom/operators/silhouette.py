@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.operators.arrays import exploded
 from themeloom.operators.storage import written
 
 SUMS = "array<struct<pos: int, cluster: int, total: double, n: bigint>>"
@@ -110,7 +111,7 @@ def silhouette_points(
         ),
     )
     per_cluster = (
-        summed.select(F.explode(found).alias("r"))
+        exploded(summed, [], found, "r")
         .select("r.*")
         .groupBy("key", "cluster", "copies", "other")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import bigrams, tokens, without_stop_words
+from themeloom.operators.arrays import exploded
 from themeloom.operators.skew import salted_join
 
 
@@ -38,7 +39,7 @@ def with_terms(
 def term_counts(texts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, term, tf`` for rows that carry ``terms``."""
     return (
-        texts.select(*keys, F.explode("terms").alias("term"))
+        exploded(texts, keys, "terms", "term")
         .groupBy(*keys, "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -50,18 +51,13 @@ def term_statistics(texts: DataFrame, within: list[str] = []) -> DataFrame:
     Sorting a row's terms lets the last of each run stand for the text, so both
     counts come from one pass without grouping by text.
     """
-    marked = texts.withColumn("terms", F.array_sort("terms")).select(
-        *within,
-        F.explode(
-            F.zip_with(
-                "terms",
-                F.slice("terms", F.lit(2), F.greatest(F.size("terms") - 1, F.lit(0))),
-                lambda a, b: F.struct(
-                    a.alias("term"), (~a.eqNullSafe(b)).cast("bigint").alias("last")
-                ),
-            )
-        ).alias("t"),
+    runs = F.zip_with(
+        "terms",
+        F.slice("terms", F.lit(2), F.greatest(F.size("terms") - 1, F.lit(0))),
+        lambda a, b: F.struct(a.alias("term"), (~a.eqNullSafe(b)).cast("bigint").alias("last")),
     )
+    ordered = texts.withColumn("terms", F.sort_array("terms"))
+    marked = exploded(ordered, within, runs, "t")
     return marked.groupBy(*within, F.col("t.term").alias("term")).agg(
         F.count("*").alias("cf"), F.sum("t.last").alias("df")
     )
@@ -135,7 +131,7 @@ def _unit(vector: Column) -> Column:
 
 def long_vectors(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, term, w``; texts without terms have no rows."""
-    return vectors.select(*keys, F.explode("vector").alias("e")).select(*keys, "e.term", "e.w")
+    return exploded(vectors, keys, "vector", "e").select(*keys, "e.term", "e.w")
 
 
 def dense(vector: Column, size: int) -> Column:

@@ -58,7 +58,8 @@ def records_of(articles: DataFrame, topics: DataFrame, key: str, settings: Setti
 def segments_of(articles: DataFrame, key: str) -> DataFrame:
     """Non-blank lines of each article as ``key, segment_no, text``."""
     pieces = F.filter(F.split("content", LINE_END), lambda p: F.trim(p) != "")
-    return articles.select(key, F.posexplode(pieces).alias("segment_no", "text"))
+    out = articles.select(key, F.posexplode_outer(pieces).alias("segment_no", "text"))
+    return out.where(F.col("segment_no").isNotNull())
 
 
 def topic_responses(
@@ -84,9 +85,8 @@ def topic_responses(
 
 def topics_of(parsed: DataFrame, key: str) -> DataFrame:
     """Topics in long form, numbered from zero in answer order."""
-    return parsed.select(key, F.posexplode("topics").alias("topic_no", "t")).select(
-        key, "topic_no", "t.*"
-    )
+    out = parsed.select(key, F.posexplode_outer("topics").alias("topic_no", "t"))
+    return out.where(F.col("topic_no").isNotNull()).select(key, "topic_no", "t.*")
 
 
 def parsed_responses(articles: DataFrame, responses: DataFrame, key: str) -> DataFrame:

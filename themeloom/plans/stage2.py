@@ -60,11 +60,13 @@ def theme_records(
     )
 
 
-def themes_of(theme_rows: DataFrame, key: str) -> DataFrame:
+def themes_of(theme_rows: DataFrame, key: str, *carried: str) -> DataFrame:
     """Themes in long form; numbers go on over the parts of an article."""
-    return theme_rows.select(
-        key, "part_no", F.posexplode("themes").alias("_pos", "t")
-    ).select(key, (F.col("part_no") * 1000 + F.col("_pos")).alias("theme_no"), "t.*")
+    out = theme_rows.select(
+        key, *carried, "part_no", F.posexplode_outer("themes").alias("_pos", "t")
+    )
+    number = (F.col("part_no") * 1000 + F.col("_pos")).alias("theme_no")
+    return out.where(F.col("t").isNotNull()).select(key, *carried, number, "t.*")
 
 
 def theme_texts(theme_rows: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from themeloom.operators.grouping import has_later_blocks, similar_pairs, topic_leaders
 from themeloom.operators.merging import article_records, merge_topics
 from themeloom.operators.rollups import stage1_summary
+from themeloom.operators import skew
 from themeloom.operators.skew import salted_join
 
 VECTOR = "array<struct<slot: int, term: string, w: double>>"
@@ -210,7 +211,9 @@ def test_parts_hold_the_whole_group(spark):
         assert topics_kept == 24
 
 
-def test_salted_join_equals_plain_join(spark):
+@pytest.mark.parametrize("hot_rows", [10, 10_000])
+def test_salted_join_equals_plain_join(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     rows = spark.createDataFrame(
         [(i, "hot" if i % 3 else f"k{i % 50}") for i in range(900)] + [(1000, None)],
         "i int, k string",

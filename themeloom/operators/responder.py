@@ -38,7 +38,7 @@ def segment_topics(
     texts = with_terms(segments, text, stop_words)
     statistics = term_statistics(texts, [key])
     sizes = segments.groupBy(key).agg(F.count("*").alias("texts"))
-    rated = salted_join(statistics, sizes, [key], "texts", ["term"]).select(
+    rated = statistics.join(sizes, key).select(
         key, "term", "df", idf(F.col("texts"), F.col("df")).alias("idf")
     )
     counts = term_counts(texts, [key, number])

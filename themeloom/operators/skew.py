@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.operators.storage import written
+
 HOT_KEYS = 1000
+HOT_ROWS = 100_000
 SALTS = 64
 
 
@@ -20,12 +23,18 @@ def salted_join(
     """Join ``rows`` to ``table``, which has one row per key.
 
     ``weight`` is the table's column with the number of rows each key meets. The
-    ``HOT_KEYS`` heaviest keys, a list bounded by that limit and so safe to
-    broadcast, are spread over ``SALTS`` by a hash of ``spread``; any other key
-    meets at most one in ``HOT_KEYS`` of all rows. Rows with a NULL key, which an
-    outer join keeps, are spread as well.
+    table is written first: it is small beside the rows, and deriving it twice
+    would read the corpus twice. If no key meets more than ``HOT_ROWS`` rows the
+    join is a plain one. Else the ``HOT_KEYS`` heaviest keys, a list bounded by
+    that limit and so safe to broadcast, are spread over ``SALTS`` by a hash of
+    ``spread``; any other key meets at most one in ``HOT_KEYS`` of all rows. Rows
+    with a NULL key, which an outer join keeps, are spread as well.
     """
-    heaviest = table.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    table = written(table)
+    heavy = table.where(F.col(weight) > HOT_ROWS).select(*keys, weight)
+    if heavy.isEmpty():
+        return rows.join(table, keys, how)
+    heaviest = heavy.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
     hot = F.broadcast(heaviest.select(*keys, F.lit(True).alias("_hot")))
     loose = F.col("_hot").isNotNull()
     for key in keys:

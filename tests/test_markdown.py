@@ -140,3 +140,15 @@ def test_markdown_files(spark, tmp_path):
     assert rows["bad.md"]["error"] and rows["bad.md"]["content"] is None
     with pytest.raises(FileNotFoundError):
         A.read_markdown_files(spark, str(tmp_path.parent / tmp_path.name / ".."))
+
+
+def test_export_and_article_table(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("a.md", "# A\n\nbody", None), ("b.md", None, "broken")],
+        "output_name string, content string, error string",
+    )
+    A.export_markdown(df, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
+    assert [(r["output_name"], r["value"]) for r in back] == [("a.md", "# A\n\nbody\n")]
+    A.write_articles(df, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2

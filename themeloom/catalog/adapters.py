@@ -139,7 +139,7 @@ def document_themes(spark: SparkSession, folder: str) -> DataFrame:
             ),
             theme(F.col("source"), F.lit(9.0), F.concat(F.lit("all of "), "lang")),
         ).alias("themes"),
-        F.size("_t").alias("source_topics_count"),
+        F.array_size("_t").alias("source_topics_count"),
         F.when(F.col("doc_id") % 13 == 12, F.lit("json_parse_failed")).alias("error"),
     )
     return written(rows)
@@ -172,7 +172,7 @@ def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
             F.transform(inner("h1"), paragraph("Heading 1")),
             F.transform(inner("p"), paragraph("Normal")),
         ).alias("paragraphs"),
-        F.when(F.size(rows) > 0, F.array(rows))
+        F.when(F.array_size(rows) > 0, F.array(rows))
         .otherwise(F.array().cast("array<array<array<string>>>"))
         .alias("tables"),
     )

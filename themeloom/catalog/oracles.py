@@ -572,6 +572,20 @@ starts AS (SELECT doc_id, ws, unnest(range(0, len(ws), {CHUNK - OVERLAP})) AS s
 chunks AS (SELECT doc_id, (s // {CHUNK - OVERLAP})::INT AS chunk_no,
     array_to_string(ws[s + 1 : s + {CHUNK}], ' ') AS text FROM starts)"""
 ORACLES["chunks"] = f"WITH {CHUNKS} SELECT doc_id, chunk_no, text FROM chunks"
+# CRC-32 of a term's bytes, bit by bit, for the distinct terms only
+CRC = """crc AS (SELECT term, xor(list_reduce(
+    list_transform(range(octet_length(encode(term))),
+      lambda i: ('0x' || substr(hex(encode(term)), (2 * i + 1)::INT, 2))::BIGINT),
+    lambda acc, b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(acc, b)),
+    4294967295::BIGINT), 4294967295) AS crc FROM (SELECT DISTINCT term FROM uni))"""
+ORACLES["chunk_vectors"] = f"""
+WITH {STOP}, {CHUNKS}, tok AS (SELECT doc_id, chunk_no, unnest({toks('text')}) AS term FROM chunks),
+uni AS (SELECT * FROM tok WHERE term NOT IN (SELECT w FROM stop)), {CRC},
+slots AS (SELECT doc_id, chunk_no, crc % {S.embedding_dim} AS slot, count(*) AS n
+  FROM uni JOIN crc USING (term) GROUP BY ALL),
+grid AS (SELECT doc_id, chunk_no, unnest(range({S.embedding_dim})) AS slot FROM chunks)
+SELECT doc_id, chunk_no, string_agg(coalesce(n, 0), '|' ORDER BY slot) AS v
+FROM grid LEFT JOIN slots USING (doc_id, chunk_no, slot) GROUP BY ALL"""
 ORACLES["vector_topk"] = f"""
 WITH {POINTS},
 centre_rows AS (SELECT label, list(value ORDER BY dim) AS c FROM centres GROUP BY label),

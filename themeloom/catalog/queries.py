@@ -229,7 +229,7 @@ def response_parse(spark, folder):
         "conv_id",
         "turn",
         "error",
-        F.size("topics").alias("topics_count"),
+        F.array_size("topics").alias("topics_count"),
         F.get("topics", F.lit(0))["name"].alias("name"),
         F.get("topics", F.lit(0))["description"].alias("description"),
         F.get("topics", F.lit(0))["importance"].alias("importance"),

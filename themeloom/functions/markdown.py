@@ -75,12 +75,12 @@ def table_lines(rows: Column) -> Column:
     """
     trimmed = F.transform(rows, lambda cells: F.transform(cells, strip))
     lines = F.transform(F.filter(trimmed, _is_filled), table_line)
-    columns = F.size(F.split(F.get(lines, F.lit(0)), r"\|", -1)) - 2
-    return F.when(F.size(lines) == 0, lines).otherwise(
+    columns = F.array_size(F.split(F.get(lines, F.lit(0)), r"\|", -1)) - 2
+    return F.when(F.array_size(lines) == 0, lines).otherwise(
         F.concat(
             F.slice(lines, 1, 1),
             F.array(separator_line(columns)),
-            F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
+            F.slice(lines, F.lit(2), F.greatest(F.array_size(lines) - 1, F.lit(0))),
         )
     )
 
@@ -89,14 +89,14 @@ def plain_table_lines(rows: Column) -> Column:
     """Lines of the plain converter: row one is the head, no row drops out."""
     trimmed = F.transform(rows, lambda cells: F.transform(cells, strip))
     head = F.get(trimmed, F.lit(0))
-    body = F.slice(trimmed, F.lit(2), F.greatest(F.size(trimmed) - 1, F.lit(0)))
+    body = F.slice(trimmed, F.lit(2), F.greatest(F.array_size(trimmed) - 1, F.lit(0)))
     none = F.array().cast("array<string>")
     return F.concat(
         F.array(F.lit("")),
         F.when(
-            (F.size(trimmed) > 0) & _is_filled(head),
+            (F.array_size(trimmed) > 0) & _is_filled(head),
             F.concat(
-                F.array(table_line(head), separator_line(F.size(head))),
+                F.array(table_line(head), separator_line(F.array_size(head))),
                 F.transform(body, table_line),
             ),
         ).otherwise(none),
@@ -113,7 +113,7 @@ def blocks_to_markdown(paragraphs: Column, tables: Column) -> Column:
         lambda p: F.coalesce(_heading(heading_level(p["style"]), p["text"]), p["text"]),
     )
     table_texts = F.transform(
-        F.filter(F.transform(tables, table_lines), lambda lines: F.size(lines) > 0),
+        F.filter(F.transform(tables, table_lines), lambda lines: F.array_size(lines) > 0),
         lambda lines: F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n")),
     )
     return clean_text(F.array_join(F.concat(body, table_texts), "\n\n"))

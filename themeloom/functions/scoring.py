@@ -52,4 +52,4 @@ def cluster_count(articles: Column) -> Column:
 
 
 def is_success(error: Column, found: Column) -> Column:
-    return error.isNull() & (F.size(found) > 0)
+    return error.isNull() & (F.array_size(found) > 0)

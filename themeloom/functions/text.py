@@ -27,7 +27,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("bigint")
+    return F.array_size(words(text)).cast("bigint")
 
 
 def file_stem(name: Column) -> Column:
@@ -85,7 +85,7 @@ def without_stop_words(terms: Column, stop_words: Iterable[str] | None = None) -
 
 def bigrams(terms: Column) -> Column:
     """Neighbouring pairs inside one row's term array; no shuffle needed."""
-    n = F.greatest(F.size(terms) - 1, F.lit(0))
+    n = F.greatest(F.array_size(terms) - 1, F.lit(0))
     return F.zip_with(
         F.slice(terms, F.lit(1), n),
         F.slice(terms, F.lit(2), n),

@@ -138,7 +138,7 @@ def _packed(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame:
     return packed.select(
         *keys,
         F.col("_rows._no").alias("_no"),
-        F.transform("_rows", lambda r: F.size(r["_slots"])).alias("_len"),
+        F.transform("_rows", lambda r: F.array_size(r["_slots"])).alias("_len"),
         F.flatten("_rows._slots").alias("_slots"),
         F.flatten("_rows._w").alias("_w"),
         *[F.col(f"_rows.{c}").alias(c) for c in carried],
@@ -175,7 +175,7 @@ def similar_pairs(
         _split(vectors, within, number)
         .groupBy(*within, "_slots", "_w")
         .agg(F.min("_no").alias("_no"), F.count("*").alias("_copies"))
-        .where(F.size("_slots") > 0)
+        .where(F.array_size("_slots") > 0)
     )
     block = F.expr(f"_no div {block_rows}") if later else F.lit(0)
     points = points.withColumn("_block", block.cast("int"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from themeloom import fixed
 from themeloom.functions.scoring import reduction_ratio
+from themeloom.operators.storage import written
 
 TOPIC_FIELDS = ["name", "description", "key_phrases", "importance", "supporting_quotes"]
 MERGED_FIELDS = [*TOPIC_FIELDS, "merged_from", "cluster_size"]
@@ -53,7 +54,7 @@ def merge_topics(
     # sums and bounded lists of each part, then of the whole group
     parts = parts.select(
         "*",
-        F.size("m").alias("_size"),
+        F.array_size("m").alias("_size"),
         F.aggregate(
             "m",
             F.lit(0.0),
@@ -71,30 +72,7 @@ def merge_topics(
         ).alias("_quotes"),
     )
     if later:
-        whole = W.partitionBy(*group)
-        ordered = F.array_sort(F.collect_list(F.struct("part_no", "_names")).over(whole))
-        parts = parts.select(
-            *group,
-            "part_no",
-            "m",
-            F.count("*").over(whole).cast("int").alias("parts"),
-            F.sum("_size").over(whole).cast("int").alias("_size"),
-            F.sum("_importance").over(whole).alias("_importance"),
-            F.slice(F.flatten(F.transform(ordered, lambda x: x["_names"])), 1, 2).alias("_names"),
-            F.slice(
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("_quotes").over(whole)))),
-                1,
-                quotes,
-            ).alias("_quotes"),
-        )
-        phrases = (
-            rows.select(*group, "part_no", F.explode("key_phrases").alias("phrase"))
-            .groupBy(*group, "phrase")
-            .agg(F.min("part_no").alias("part_no"))
-            .groupBy(*group, "part_no")
-            .agg(F.array_sort(F.collect_list("phrase")).alias("_phrases"))
-        )
-        parts = parts.join(phrases, [*group, "part_no"], "left")
+        parts = _with_group_values(written(parts), rows, group, quotes)
     else:
         parts = parts.withColumn("parts", F.lit(1)).withColumn(
             "_phrases",
@@ -124,6 +102,51 @@ def merge_topics(
     )
 
 
+def _with_group_values(
+    parts: DataFrame, rows: DataFrame, group: list[str], quotes: int
+) -> DataFrame:
+    """Replace the part's own sums and lists by those of its whole group.
+
+    The texts stay where they are: group values are found on slim rows, limited
+    per task, and come back by group and part, a key that no group crowds.
+    """
+
+    def first_of(values: DataFrame, order: list[str], kept: int, value: str, name: str):
+        rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+        best = values.withColumn("_rank", rank).where(F.col("_rank") <= kept)
+        return best.groupBy(*group).agg(
+            F.array_sort(F.collect_list(F.struct("_rank", value))).alias("_l")
+        ).select(*group, F.col(f"_l.{value}").alias(name))
+
+    names = parts.select(*group, "part_no", F.posexplode("_names").alias("_pos", "_name"))
+    quoted = parts.select(*group, F.explode("_quotes").alias("_quote")).distinct()
+    totals = (
+        parts.groupBy(*group)
+        .agg(
+            F.count("*").cast("int").alias("parts"),
+            F.sum("_size").cast("int").alias("_size"),
+            F.sum("_importance").alias("_importance"),
+        )
+        .join(first_of(names, ["part_no", "_pos"], 2, "_name", "_names"), group)
+        .join(first_of(quoted, ["_quote"], quotes, "_quote", "_quotes"), group, "left")
+        .withColumn("_quotes", _strings("_quotes"))
+    )
+    # a phrase is listed on the first part that has it
+    phrases = (
+        rows.select(*group, "part_no", F.explode("key_phrases").alias("phrase"))
+        .groupBy(*group, "phrase")
+        .agg(F.min("part_no").alias("part_no"))
+        .groupBy(*group, "part_no")
+        .agg(F.array_sort(F.collect_list("phrase")).alias("_phrases"))
+    )
+    by_part = [*group, "part_no"]
+    return (
+        parts.select(*by_part, "m")
+        .join(parts.select(*by_part).join(totals, group), by_part)
+        .join(phrases, by_part, "left")
+    )
+
+
 def article_records(
     articles: DataFrame,
     topics: DataFrame,
@@ -139,42 +162,55 @@ def article_records(
     those of the whole article; an article with no topics is a success with
     empty lists, a failed one has NULL counts.
     """
-    by = [key, "part_no"] if later else [key]
+    by = [key, "part_no"]
     counted = topics.withColumn("part_no", _part(F.col(number), later, block_rows))
-    original = counted.groupBy(*by).agg(
+    # a constant part is no grouping key, so that one shuffle by article serves all
+    keys = by if later else [key]
+    original = counted.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(F.struct(F.col(number).alias("no"), F.struct(*TOPIC_FIELDS).alias("t")))
         ).alias("_topics")
     )
-    # a merged group counts once, on its first part
-    first = F.row_number().over(W.partitionBy(key, "leader_no").orderBy("part_no")) == 1
-    placed = merged.withColumn("_first", first if later else F.lit(True))
-    clustered = placed.groupBy(*by).agg(
+    clustered = merged.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(F.col("leader_no").alias("no"), F.struct(*MERGED_FIELDS).alias("t"))
             )
-        ).alias("_merged"),
-        F.count_if("_first").alias("_groups"),
+        ).alias("_merged")
     )
-    lists = original.join(clustered, by, "left")
     if later:
-        whole = W.partitionBy(key)
-        lists = lists.withColumn(
-            "_before", F.sum(F.size("_topics")).over(whole).cast("bigint")
-        ).withColumn("_after", F.sum(F.coalesce("_groups", F.lit(0))).over(whole))
+        totals = (
+            topics.groupBy(key)
+            .agg(F.count("*").alias("_before"))
+            .join(
+                merged.select(key, "leader_no").distinct().groupBy(key).agg(
+                    F.count("*").alias("_after")
+                ),
+                key,
+                "left",
+            )
+        )
+        slots = counted.select(*by).distinct().join(totals, key)
+        # lists meet their article by article and part, which spreads hot articles
+        base = articles.join(slots, key, "left").withColumn(
+            "part_no", F.coalesce("part_no", F.lit(0))
+        )
+        lists = base.join(original, by, "left").join(clustered, by, "left")
     else:
-        lists = lists.withColumn("_before", F.size("_topics").cast("bigint")).withColumn(
-            "_after", F.col("_groups")
+        lists = (
+            articles.join(original, key, "left")
+            .join(clustered, key, "left")
+            .withColumn("part_no", F.lit(0))
+            .withColumn("_before", F.array_size("_topics").cast("bigint"))
+            .withColumn("_after", F.array_size("_merged").cast("bigint"))
         )
-        lists = lists.withColumn("part_no", F.lit(0))
     ok = F.col("error").isNull()
     before = F.coalesce("_before", F.lit(0))
     after = F.coalesce("_after", F.lit(0))
     # failed articles carry no topics into the record
-    return articles.join(lists, key, "left").select(
+    return lists.select(
         *articles.columns,
-        F.coalesce("part_no", F.lit(0)).alias("part_no"),
+        "part_no",
         F.when(ok, F.coalesce(F.col("_topics.t"), _empty(topics, TOPIC_FIELDS))).alias(
             "original_topics"
         ),

@@ -105,9 +105,9 @@ def theme_answers(records: DataFrame, keys: list[str], max_themes: int = 4) -> D
 
     def theme(word: Column) -> Column:
         mine = F.filter(topics, lambda t: head(t) == word)
-        mean = F.aggregate(mine, F.lit(0.0), lambda acc, t: acc + importance(t)) / F.size(mine)
+        mean = F.aggregate(mine, F.lit(0.0), lambda acc, t: acc + importance(t)) / F.array_size(mine)
         return F.struct(
-            (-F.size(mine)).alias("n"),
+            (-F.array_size(mine)).alias("n"),
             (-F.round(mean, 6)).alias("i"),
             word.alias("word"),
             F.struct(
@@ -117,9 +117,9 @@ def theme_answers(records: DataFrame, keys: list[str], max_themes: int = 4) -> D
                 F.bround(mean).alias("strength"),
                 F.concat_ws(
                     " ",
-                    F.size(mine).cast("string"),
+                    F.array_size(mine).cast("string"),
                     F.lit("of"),
-                    F.size(topics).cast("string"),
+                    F.array_size(topics).cast("string"),
                     F.lit("topics"),
                 ).alias("coverage"),
             ).alias("theme"),
@@ -127,7 +127,7 @@ def theme_answers(records: DataFrame, keys: list[str], max_themes: int = 4) -> D
 
     ranked = F.array_sort(F.transform(F.array_distinct(F.transform(topics, head)), theme))
     themes = F.slice(F.transform(ranked, lambda x: x["theme"]), 1, max_themes)
-    some = F.size(topics) > 0
+    some = F.array_size(topics) > 0
     return records.select(
         *keys,
         F.when(some, F.to_json(F.struct(themes.alias("themes")))).alias("response"),

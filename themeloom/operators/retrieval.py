@@ -26,7 +26,7 @@ def chunks(articles: DataFrame, key: str, content: str, size: int, overlap: int)
     split = articles.select(key, words(F.col(content)).alias("_words"))
     # NULL for a text without words, and no filter that would split texts twice
     starts = F.when(
-        F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))
+        F.array_size("_words") > 0, F.sequence(F.lit(0), F.array_size("_words") - 1, F.lit(step))
     )
     pieces = F.transform(
         starts, lambda s: F.array_join(F.slice("_words", s + 1, F.lit(size)), " ")
@@ -150,7 +150,7 @@ def _pairs(terms: Column) -> Column:
         F.transform(
             terms,
             lambda a, i: F.transform(
-                F.slice(terms, i + 2, F.greatest(F.size(terms) - i - 1, F.lit(0))),
+                F.slice(terms, i + 2, F.greatest(F.array_size(terms) - i - 1, F.lit(0))),
                 lambda b: F.struct(a.alias("a"), b.alias("b")),
             ),
         )

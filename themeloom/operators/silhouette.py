@@ -96,7 +96,7 @@ def silhouette_points(
             F.col("flat").alias("o_flat"),
         )
     summed = both.withColumn(
-        "s", F.pandas_udf(_distance_sums, SUMS)("flat", F.size("keys"), "o_flat", "o_clusters", "o_copies")
+        "s", F.pandas_udf(_distance_sums, SUMS)("flat", F.array_size("keys"), "o_flat", "o_clusters", "o_copies")
     )
     # look the point up before the explode, so that no row carries the block
     found = F.transform(

@@ -53,7 +53,7 @@ def term_statistics(texts: DataFrame, within: list[str] = []) -> DataFrame:
     """
     runs = F.zip_with(
         "terms",
-        F.slice("terms", F.lit(2), F.greatest(F.size("terms") - 1, F.lit(0))),
+        F.slice("terms", F.lit(2), F.greatest(F.array_size("terms") - 1, F.lit(0))),
         lambda a, b: F.struct(a.alias("term"), (~a.eqNullSafe(b)).cast("bigint").alias("last")),
     )
     ordered = texts.withColumn("terms", F.sort_array("terms"))
@@ -144,7 +144,7 @@ def dense(vector: Column, size: int) -> Column:
         vector,
         F.array().cast("array<double>"),
         lambda acc, x: F.concat(
-            acc, F.array_repeat(F.lit(0.0), x["slot"] - 1 - F.size(acc)), F.array(x["w"])
+            acc, F.array_repeat(F.lit(0.0), x["slot"] - 1 - F.array_size(acc)), F.array(x["w"])
         ),
     )
-    return F.concat(padded, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(padded)))
+    return F.concat(padded, F.array_repeat(F.lit(0.0), F.lit(size) - F.array_size(padded)))

@@ -37,7 +37,7 @@ def theme_responses(
     """``key, part_no, response, error``; no topics fails without a call."""
     if respond is None:
         return theme_answers(records, [key, "part_no"])
-    some = F.size("clustered_topics") > 0
+    some = F.array_size("clustered_topics") > 0
     prompt = F.when(some, theme_prompt(F.col("clustered_topics")))
     asked = complete(records.select(key, "part_no", prompt.alias("prompt")), respond)
     error = F.when(F.col("prompt").isNull(), F.lit(fixed.NO_TOPICS)).otherwise(F.col("error"))
@@ -51,7 +51,7 @@ def theme_records(
     if responses is None:
         responses = theme_responses(records, key, None)
     counts = records.select(
-        key, "part_no", F.size("clustered_topics").alias("source_topics_count")
+        key, "part_no", F.array_size("clustered_topics").alias("source_topics_count")
     )
     return (
         parsed_themes(responses)

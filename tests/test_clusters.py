@@ -10,7 +10,7 @@ from themeloom.catalog.oracles import default_stop_words as stop_words_of_jar
 from themeloom.operators import clusters as C
 from themeloom.operators import retrieval as R
 from themeloom.operators.silhouette import silhouette, silhouette_points
-from themeloom.operators.terms import dense, tfidf_vectors, with_terms
+from themeloom.operators.terms import tfidf_vectors, with_terms
 from themeloom.plans.stage2 import cluster_analysis, themes_of
 from themeloom.settings import Settings
 
@@ -110,12 +110,9 @@ def test_vectors_have_norm_one_or_no_entries(spark):
     assert got.keys() == {1, 2, 3, 4} and got[3] == got[4] == []
     for i in (1, 2):
         assert sum(e["w"] ** 2 for e in got[i]) == pytest.approx(1.0)
-    rows = spark.createDataFrame(
-        [([(2, "x", 0.5), (4, "y", 0.25)],), ([],)],
-        "v array<struct<slot:int,term:string,w:double>>",
-    )
-    flat = [r[0] for r in rows.select(dense(F.col("v"), 5)).collect()]
-    assert flat == [[0, 0.5, 0, 0.25, 0], [0] * 5]
+    none = df.where("id > 2")
+    empty = tfidf_vectors(with_terms(none, "t"), ["id"], 4).collect()
+    assert [r["vector"] for r in empty] == [[], []]
 
 
 def test_stop_words_of_library_and_jar_agree(spark):

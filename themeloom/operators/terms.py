@@ -8,7 +8,10 @@ terms per task, not tokens.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,18 +94,14 @@ def tfidf_vectors(
     of the group each fit is confined to (none: one fit over all). Texts left
     with no term of the vocabulary keep an empty vector.
     """
+    if not within:
+        return _corpus_vectors(texts, keys, size)
     vocab = vocabulary(term_statistics(texts, within), size, within)
+    sizes = texts.groupBy(*within).agg(F.count("*").alias("texts"))
+    vocab = vocab.join(sizes, within).withColumn("idf", idf(F.col("texts"), F.col("df")))
+    vocab = vocab.select(*within, "term", "slot", "idf", "cf")
     terms = texts.select(*keys, F.explode_outer("terms").alias("term"))
-    if within:
-        sizes = texts.groupBy(*within).agg(F.count("*").alias("texts"))
-        vocab = vocab.join(sizes, within).withColumn("idf", idf(F.col("texts"), F.col("df")))
-        vocab = vocab.select(*within, "term", "slot", "idf", "cf")
-        found = salted_join(terms, vocab, [*within, "term"], "cf", keys, "left")
-    else:
-        texts_in_all = texts.select(F.count("*")).scalar()
-        vocab = vocab.select("term", "slot", idf(texts_in_all, F.col("df")).alias("idf"))
-        # at most ``size`` rows
-        found = terms.join(F.broadcast(vocab), "term", "left")
+    found = salted_join(terms, vocab, [*within, "term"], "cf", keys, "left")
     # terms outside the vocabulary become one NULL group per text
     term = F.when(F.col("slot").isNotNull(), F.col("term")).alias("term")
     counts = found.groupBy(*keys, "slot", term, "idf").agg(F.count("*").alias("tf"))
@@ -114,6 +113,57 @@ def tfidf_vectors(
     return packed.select(*keys, _unit(F.col("vector")).alias("vector"))
 
 
+@dataclass(frozen=True)
+class Fit:
+    """A fitted corpus vocabulary, at most as long as its size parameter."""
+
+    terms: list[str]
+    idf: list[float]
+
+
+def fit_corpus(texts: DataFrame, size: int) -> Fit:
+    top = vocabulary(term_statistics(texts), size)
+    number = texts.select(F.count("*")).scalar()
+    rows = top.select("term", "slot", idf(number, F.col("df")).alias("idf")).collect()
+    rows.sort(key=lambda r: r["slot"])
+    return Fit([r["term"] for r in rows], [r["idf"] for r in rows])
+
+
+def corpus_features(texts: DataFrame, keys: list[str], fit: Fit) -> DataFrame:
+    """``keys, features``: dense weights of norm one, all zero without terms.
+
+    Counting against a fitted vocabulary is one pass over the rows, no shuffle.
+    """
+    if not fit.terms:
+        return texts.select(*keys, F.array().cast("array<double>").alias("features"))
+    model = CountVectorizerModel.from_vocabulary(fit.terms, "terms", "_counts")
+    counts = model.transform(texts).select(*keys, vector_to_array("_counts").alias("_tf"))
+    factors = F.array(*[F.lit(x) for x in fit.idf])
+    raw = counts.select(*keys, F.zip_with("_tf", factors, lambda n, x: n * x).alias("_raw"))
+    squares = F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x * x)
+    scaled = F.transform(
+        F.array(F.sqrt(squares)),
+        lambda norm: F.when(norm > 0, F.transform("_raw", lambda x: x / norm)).otherwise(
+            F.col("_raw")
+        ),
+    )
+    return raw.select(*keys, F.get(scaled, F.lit(0)).alias("features"))
+
+
+def _corpus_vectors(texts: DataFrame, keys: list[str], size: int) -> DataFrame:
+    fit = fit_corpus(texts, size)
+    names = F.array(*[F.lit(t) for t in fit.terms]).cast("array<string>")
+    entries = F.transform(
+        "features",
+        lambda w, i: F.struct(
+            (i + 1).alias("slot"), F.get(names, i).alias("term"), w.alias("w")
+        ),
+    )
+    return corpus_features(texts, keys, fit).select(
+        *keys, F.filter(entries, lambda e: e["w"] > 0).alias("vector")
+    )
+
+
 def _unit(vector: Column) -> Column:
     """Scale to norm one; the norm is bound once and not per entry."""
     squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"])
@@ -132,19 +182,3 @@ def _unit(vector: Column) -> Column:
 def long_vectors(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, term, w``; texts without terms have no rows."""
     return exploded(vectors, keys, "vector", "e").select(*keys, "e.term", "e.w")
-
-
-def dense(vector: Column, size: int) -> Column:
-    """Plain array of ``size`` weights, zero where the vector has no entry.
-
-    Runs of zeros are put between neighbouring slots, so cost is the array's
-    length and not entries times length.
-    """
-    padded = F.aggregate(
-        vector,
-        F.array().cast("array<double>"),
-        lambda acc, x: F.concat(
-            acc, F.array_repeat(F.lit(0.0), x["slot"] - 1 - F.array_size(acc)), F.array(x["w"])
-        ),
-    )
-    return F.concat(padded, F.array_repeat(F.lit(0.0), F.lit(size) - F.array_size(padded)))

@@ -18,7 +18,7 @@ from themeloom.operators.responder import cluster_answers, theme_answers
 from themeloom.operators.rollups import stage1_summary, stage2_summary, successful_records
 from themeloom.operators.silhouette import silhouette
 from themeloom.operators.storage import written
-from themeloom.operators.terms import dense, tfidf_vectors, with_terms
+from themeloom.operators.terms import corpus_features, fit_corpus, with_terms
 from themeloom.settings import Settings
 
 
@@ -70,16 +70,22 @@ def themes_of(theme_rows: DataFrame, key: str, *carried: str) -> DataFrame:
 
 
 def theme_texts(theme_rows: DataFrame, key: str) -> DataFrame:
-    """Strength-weighted text of each article with themes, one row per part."""
+    """Strength-weighted text of each article with themes.
+
+    The parts of a large article are joined in order; themes are few per part.
+    """
     valid = theme_rows.where(is_success(F.col("error"), F.col("themes")))
-    return valid.select(key, "part_no", weighted_theme_text(F.col("themes")).alias("text"))
+    part = F.struct("part_no", weighted_theme_text(F.col("themes")).alias("text"))
+    if valid.where(F.col("part_no") > 0).isEmpty():
+        return valid.select(key, part["text"].alias("text"))
+    parts = valid.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    return parts.select(key, F.array_join("p.text", " ").alias("text"))
 
 
 def article_vectors(texts: DataFrame, key: str, settings: Settings) -> DataFrame:
     """``key, features``: dense TF-IDF over one- and two-word terms."""
     terms = with_terms(texts.select(key, "text"), "text", pairs=True)
-    vectors = tfidf_vectors(terms, [key], settings.article_terms)
-    return vectors.select(key, dense(F.col("vector"), settings.article_terms).alias("features"))
+    return corpus_features(terms, [key], fit_corpus(terms, settings.article_terms))
 
 
 def cluster_analysis(

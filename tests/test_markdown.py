@@ -138,8 +138,9 @@ def test_markdown_files(spark, tmp_path):
     rows = {r["filename"]: r for r in A.read_markdown_files(spark, str(tmp_path)).collect()}
     assert rows["a.md"]["content"] == "één\nb c" and rows["a.md"]["word_count"] == 3
     assert rows["bad.md"]["error"] and rows["bad.md"]["content"] is None
+    (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError):
-        A.read_markdown_files(spark, str(tmp_path.parent / tmp_path.name / ".."))
+        A.read_markdown_files(spark, str(tmp_path / "none"))
 
 
 def test_export_and_article_table(spark, tmp_path):

@@ -3,10 +3,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
-from themeloom.functions.text import default_stop_words
-from themeloom.catalog.oracles import default_stop_words as stop_words_of_jar
+from themeloom.stop_words import ENGLISH
 from themeloom.operators import clusters as C
 from themeloom.operators import retrieval as R
 from themeloom.operators.silhouette import silhouette, silhouette_points
@@ -115,8 +115,8 @@ def test_vectors_have_norm_one_or_no_entries(spark):
     assert [r["vector"] for r in empty] == [[], []]
 
 
-def test_stop_words_of_library_and_jar_agree(spark):
-    assert list(default_stop_words()) == stop_words_of_jar()
+def test_stop_words_are_those_of_the_library(spark):
+    assert list(ENGLISH) == StopWordsRemover.loadDefaultStopWords("english")
 
 
 def test_chunk_vector_counts_hashed_terms(spark):

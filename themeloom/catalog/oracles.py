@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from themeloom import fixed
 from themeloom.functions import prompts as P
 from themeloom.settings import Settings
+from themeloom.stop_words import ENGLISH
 
 S = Settings()
 LOOSE = 0.3
@@ -26,15 +22,6 @@ def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def default_stop_words() -> list[str]:
-    """Spark ML's English list, read from its jar so that no session is needed."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    jar = next(jars.glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        listed = archive.read("org/apache/spark/ml/feature/stopwords/english.txt")
-    return listed.decode().split()
-
-
 def strip(x: str) -> str:
     return f"regexp_replace({x}, {text(STRIP)}, '', 'g')"
 
@@ -57,7 +44,7 @@ def joined(x: str) -> str:
 
 
 SENTENCE = "regexp_extract({}, '^[^.!?]*[.!?]?')"
-STOP = f"stop AS (SELECT unnest([{', '.join(text(w) for w in default_stop_words())}]) AS w)"
+STOP = f"stop AS (SELECT unnest([{', '.join(text(w) for w in ENGLISH)}]) AS w)"
 
 
 # --- text and markdown -------------------------------------------------------

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from themeloom import fixed
+from themeloom.stop_words import ENGLISH
 
 
 def strip(text: Column) -> Column:
@@ -73,13 +72,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(fixed.TERM_PATTERN), F.lit(0))
 
 
-@lru_cache(maxsize=None)
-def default_stop_words() -> tuple[str, ...]:
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def without_stop_words(terms: Column, stop_words: Iterable[str] | None = None) -> Column:
-    stop = list(default_stop_words() if stop_words is None else stop_words)
+    stop = list(ENGLISH if stop_words is None else stop_words)
     return F.filter(terms, lambda t: ~t.isin(stop)) if stop else terms
 
 

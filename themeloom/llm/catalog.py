@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from themeloom.llm import decontaminate, lines, mixing, quality, simhash
+from themeloom.llm import (
+    decontaminate, language, lines, mixing, pii, quality, secrets, simhash, toxicity, warc
+)
 from themeloom.llm.sql import LLM_SQL
 from themeloom.shipping import ship
 
@@ -25,6 +27,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+@query
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"))
@@ -42,6 +59,16 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(table(spark, folder, "documents"))
 
 
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "documents"))
+
+
 @query
 def op9_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))

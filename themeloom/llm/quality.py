@@ -41,6 +41,9 @@ SYMBOLS = r"[#*$%&|<>]"
 PUNCTUATION = r"[!\"'(),./:;?@\[\]_{}~^`+=\\-]"
 
 
+# So many different repeated windows are looked up one by one; the result is the same.
+LOOKED_UP = 12
+
 # Sizes of the two histograms: character classes, common words and the rest.
 CLASSES = 6
 WIDTHS = {"_classes": CLASSES, "_counts": len(COMMON_WORDS) + 1}
@@ -86,17 +89,26 @@ def text_statistics(docs: DataFrame, key: Column | None = None) -> DataFrame:
         F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long").alias("_upper"),
         F.regexp_count("_text", F.lit("[0-9]")).cast("long").alias("_digits"),
     )
-    # only a text with some repeated window is sorted
+    # Only a text with some repeated window is sorted, and by its hashes alone. Where few
+    # hashes repeat, their places are looked up; else hashes are sorted with their places.
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    rows = rows.select("*", F.when(repeats, F.sort_array("_windows")).alias("_sorted"))
+    again = F.filter("_sorted", lambda x, j: F.get("_sorted", j + 1) == x)
+    rows = rows.select("*", F.array_distinct(again).alias("_again"))
+    few = F.size("_again") <= LOOKED_UP
     ordered = F.when(
-        repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ~few, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     )
     rows = rows.select("*", ordered.alias("_ordered"))
     found = F.filter(
         "_ordered",
         lambda x, j: (F.get("_ordered", j - 1)["h"] == x["h"]) | (F.get("_ordered", j + 1)["h"] == x["h"]),
     )
-    rows = rows.select("*", F.sort_array(F.transform(found, lambda x: x["i"])).alias("_starts"))
+    places = F.filter(
+        F.transform("_windows", lambda h, i: F.when(F.array_contains("_again", h), i)), lambda i: i.isNotNull()
+    )
+    starts = F.when(few, places).otherwise(F.sort_array(F.transform(found, lambda x: x["i"])))
+    rows = rows.select("*", F.when(F.size("_again") > 0, starts).alias("_starts"))
     reach = F.transform(
         "_starts", lambda p, j: F.coalesce(F.least(F.get("_starts", j + 1) - p, F.lit(3)), F.lit(3))
     )

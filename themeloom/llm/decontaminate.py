@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import NOT_WORD, ascii_lower, bounded_broadcast, fresh, row_key
+from themeloom.llm.common import NOT_WORD, ascii_lower, bounded_broadcast, computed, fresh, row_key
 from themeloom.operators.storage import written
 
 
@@ -110,11 +110,13 @@ def contamination(docs: DataFrame, items: DataFrame, rules: WinnowRules = Winnow
     known = reduce(DataFrame.unionByName, of_items).select(F.explode_outer("_fps").alias("_fp"))
     known = written(known.where("_fp is not null").distinct())
 
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), plain_words(F.col("text")).alias("_words"))
+    # the text is what moves: an array of its words takes twice the room
+    texts = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), F.col("text").alias("_text"))
+    rows = texts.select("_key", plain_words(F.col("_text")).alias("_words"))
     met = (
         # outer: for a plain explode Spark infers a filter on the whole array expression
         # and evaluates it below the projections, once per element
-        fingerprints(rows.select("_key", "_words"), rules, short)
+        fingerprints(rows, rules, short)
         .select("_key", F.explode_outer("_fps").alias("_fp"))
         .join(bounded_broadcast(known), "_fp", "left_semi")
         .groupBy("_key")
@@ -140,8 +142,9 @@ def contamination(docs: DataFrame, items: DataFrame, rules: WinnowRules = Winnow
     runs = F.transform(
         spots, lambda x: F.struct(x["s"], x["m"], F.array_join(F.slice("_words", x["s"] + 1, x["m"]), " ").alias("run"))
     )
+    joined = computed(texts.join(met, "_key", "left"), "_words", plain_words(F.col("_text"))).drop("_text")
     table = written(
-        rows.join(met, "_key", "left").select(
+        joined.select(
             "doc_id", "_key", n.cast("long").alias("n_words"), F.when(F.col("_hits").isNotNull(), runs).alias("_runs")
         )
     )

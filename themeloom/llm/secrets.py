@@ -43,7 +43,7 @@ STRIDE = 256
 class SecretRules:
     token_chars: int = 20
     # mean log-likelihood ratio per character, natural logarithm, that a secret needs
-    ratio: float = 0.5
+    ratio: float = 0.0
     # documents whose words and base matches are the labelled samples
     sample_docs: int = 4_000
     smoothing: float = 0.5

@@ -240,7 +240,7 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, min_byte
     write_archives(
         rows.select(
             F.col("page_id").cast("long").alias("page_id"), F.col("uri").alias("url"),
-            F.decode("payload", F.lit("UTF-8")).alias("payload"), F.col("payload_digest").alias("digest"), "size",
+            F.decode("payload", "UTF-8").alias("payload"), F.col("payload_digest").alias("digest"), "size",
             F.col("payload").isNotNull().alias("whole"),
         ),
         target,

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import bounded_broadcast, computed, fresh, packed, row_key, spaced_words
 from themeloom.operators.storage import written
 
-# Letters whose counts, modulo 16, are compared before the text is.
-COUNTED = "eainorst"
+# Letters whose counts, modulo 4, are compared before the text is.
+COUNTED = "etaoinsrhldcumkb"
 LAST_ID = (1 << 63) - 1
 
 
@@ -55,11 +55,11 @@ def occurrences(docs: DataFrame, rules: LineRules) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the listed letters, four bits each."""
+    """Counts of the listed letters, two bits each."""
     packed_counts = F.lit(0)
     for i, letter in enumerate(COUNTED):
         n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        packed_counts = packed_counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * i))
+        packed_counts = packed_counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * i))
     return packed_counts
 
 
@@ -67,9 +67,9 @@ def counts_apart(a: Column, b: Column) -> Column:
     """At most the true difference of the counts: an edit changes it by two or less."""
     total = F.lit(0)
     for i in range(len(COUNTED)):
-        x = F.shiftright(a, 4 * i).bitwiseAND(F.lit(15))
-        y = F.shiftright(b, 4 * i).bitwiseAND(F.lit(15))
-        total = total + F.least((x - y).bitwiseAND(F.lit(15)), (y - x).bitwiseAND(F.lit(15)))
+        x = F.shiftright(a, 2 * i).bitwiseAND(F.lit(3))
+        y = F.shiftright(b, 2 * i).bitwiseAND(F.lit(3))
+        total = total + F.least((x - y).bitwiseAND(F.lit(3)), (y - x).bitwiseAND(F.lit(3)))
     return total
 
 

@@ -104,3 +104,16 @@ def test_stage1_result_does_not_depend_on_partitions(spark):
     one = sorted(map(str, stage1(df.coalesce(1), "id").collect()))
     many = sorted(map(str, stage1(df.repartition(7), "id").collect()))
     assert one == many
+
+
+def test_only_builtin_heading_styles_are_renamed():
+    from xml.etree import ElementTree
+
+    from themeloom.sources.word import NS, _style_names
+
+    space = NS.strip("{}")
+    given = ["heading 1", "heading 9", "heading red", "HEADING 1", "heading 10"]
+    styles = "".join(f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{v}"/></w:style>' for i, v in enumerate(given))
+    names, default = _style_names(ElementTree.fromstring(f'<w:styles xmlns:w="{space}">{styles}</w:styles>'))
+    assert list(names.values()) == ["Heading 1", "Heading 9", "heading red", "HEADING 1", "heading 10"]
+    assert default == "Normal"

@@ -38,8 +38,35 @@ CHUNK, OVERLAP = 120, 20
 K = 20
 
 
+# Positions and counts that SQL gives as BIGINT.
+WIDE = {
+    "vocabulary_topn": ["slot"],
+    "tfidf_within_article": ["topic_no"],
+    "topic_similarity_pairs": ["i", "j"],
+    "topic_similarity_pairs_loose": ["i", "j"],
+    "topic_leaders": ["topic_no", "leader_no"],
+    "topic_leaders_loose": ["topic_no", "leader_no"],
+    "merged_topics": ["leader_no", "cluster_size"],
+    "merged_topics_loose": ["leader_no", "cluster_size"],
+    "builtin_topics": ["topic_no"],
+    "builtin_themes": ["theme_no"],
+    "cluster_themes_top20": ["shown_no"],
+    "stage2_summary": ["n_clusters"],
+    "vector_topk": ["rank"],
+    "retrieve_local": ["rank"],
+    "retrieve_global": ["rank"],
+    "retrieve_hybrid": ["best_rank", "rank"],
+}
+
+
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = lambda spark, folder: run(ship(spark), folder)
+    wide = WIDE.get(run.__name__, [])
+
+    def registered(spark: SparkSession, folder: str) -> DataFrame:
+        found = run(ship(spark), folder)
+        return found.withColumns({c: F.col(c).cast("long") for c in wide}) if wide else found
+
+    QUERIES[run.__name__] = registered
     return run
 
 

@@ -7,6 +7,7 @@ inside Arrow batches. Everything after it is column work on one row per file.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -72,7 +73,8 @@ def _style_names(styles) -> tuple[dict[str, str], str]:
             continue
         name = style.find(f"{NS}name")
         shown = name.get(f"{NS}val", "") if name is not None else ""
-        if shown.lower().startswith("heading "):
+        # only the built-in levels are shown in upper case
+        if re.fullmatch("heading [1-9]", shown):
             shown = "Heading " + shown[8:]
         names[style.get(f"{NS}styleId")] = shown
         if style.get(f"{NS}default") in ("1", "true"):

@@ -53,6 +53,13 @@ def test_silhouette_equals_brute_force(spark, block_rows):
     assert whole["silhouette_score"] == pytest.approx(np.mean(list(expected.values())), abs=6e-4)
 
 
+def test_one_cluster(spark):
+    df = points(spark, [(1, 0, [1.0, 0.0]), (2, 0, [3.0, 2.0]), (3, 0, [2.0, 4.0])])
+    found = C.fit_kmeans(df, "id", "v", 1, (42, 43))
+    assert sorted(map(tuple, found.assigned.collect())) == [(1, 0), (2, 0), (3, 0)]
+    assert found.centres == [[2.0, 2.0]] and found.cost == pytest.approx(10.0)
+
+
 def test_silhouette_edges(spark):
     one = points(spark, [(1, 0, [1.0]), (2, 0, [2.0])])
     assert silhouette(one, "id", "label", "v").first()["silhouette_score"] == 0.0

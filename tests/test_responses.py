@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from themeloom.functions.responses import parsed_topics, without_fence
+from themeloom.functions.responses import parsed_themes, parsed_topics, without_fence
 from themeloom.operators.completion import complete, embed
 
 CASES = [
@@ -27,6 +27,14 @@ def test_answers(spark):
     assert got[99]["topics"] == [] and got[99]["error"] == "boom"
 
 
+def test_a_theme_without_description_fails_its_article(spark):
+    whole = '{"name":"A","description":"d"}'
+    rows = [(0, f'{{"themes":[{whole}]}}', None), (1, f'{{"themes":[{whole},{{"name":"B"}}]}}', None), (2, None, "boom")]
+    df = spark.createDataFrame(rows, "i int, response string, error string")
+    got = {r["i"]: (len(r["themes"]), r["error"]) for r in parsed_themes(df).collect()}
+    assert got == {0: (1, None), 1: (0, "bad_theme"), 2: (0, "boom")}
+
+
 def test_fence_drops_last_three_characters_always(spark):
     df = spark.createDataFrame([("```json{}abc",), ("``` {} ```",), ("```x",), (" {} ",)], "r string")
     got = [r[0] for r in df.select(without_fence(F.col("r"))).collect()]

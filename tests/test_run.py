@@ -5,7 +5,7 @@ import pytest
 from tests.test_markdown import docx
 from themeloom.plans.knowledge import open_store, search
 from themeloom.plans.run import Analysis, run_all, run_stage
-from themeloom.plans.stage1 import stage1
+from themeloom.plans.stage1 import stage1, topic_responses
 from themeloom.settings import Settings
 from themeloom.sources.results import read_stage1, read_stage1_successes
 
@@ -86,6 +86,39 @@ def test_markdown_folder_skips_conversion_and_callers_functions_are_used(spark,
     assert {r["display_name"] for r in clusters} <= {"Cluster 0", "Cluster 1"}
 
 
+def test_prompts_cover_whole_articles_and_their_topics_go_on(spark):
+    """Text after the first window reaches a prompt; one failed window fails its article."""
+    long = "".join(f"{i:04d} word " for i in range(50))
+    rows = [("long", long, 100, None), ("bad", long + "poison", 101, None), ("short", "0007 word", 2, None), ("empty", "", 0, None)]
+    articles = spark.createDataFrame(rows, "article string, content string, word_count long, error string")
+
+    def respond(prompt):
+        part = prompt.split("Interview:\n")[1].split("\n\nAnswer with")[0]
+        if "poison" in part:
+            raise RuntimeError("refused")
+        return json.dumps({"topics": [{"name": part, "description": f"about {part}"}] if part else []})
+
+    settings = Settings(content_cap=200, similarity_threshold=2.0)
+    answers = topic_responses(articles, "article", settings, respond)
+    assert answers.where("article = 'long'").count() == 3
+    got = {r["article"]: r for r in stage1(articles, "article", settings, answers).collect()}
+    assert "".join(t["name"] for t in got["long"]["original_topics"]) == long
+    assert [t["name"] for t in got["short"]["original_topics"]] == ["0007 word"]
+    assert got["bad"]["error"] == "refused" and not got["bad"]["topics_count"]
+    assert got["empty"]["error"] is None and got["empty"]["topics_count"] == 0
+
+
+def test_files_of_one_stem_are_one_article(spark, folder):
+    job = Analysis(str(folder / "documents"), str(folder / "results"), settings=QUICK)
+    (folder / "documents" / "talk_0.doc").write_bytes(b"old form")
+    outcome = dict((stage, (ok, summary)) for stage, ok, summary in run_all(spark, job, ("convert", "stage1")))
+    assert outcome["convert"][1].where("error is null").first()["rows"] == 6
+    first = outcome["stage1"][1].first()
+    assert (first["total_articles"], first["failed_articles"]) == (7, 1)
+    records = read_stage1(spark, job.results).where("filename = 'talk_0.md'").collect()
+    assert len(records) == 1 and records[0]["error"] is None
+
+
 def test_run_stops_at_first_failed_stage(spark, tmp_path):
     (tmp_path / "only.md").write_text("one article about rivers")
     job = Analysis("unused", str(tmp_path / "r"), str(tmp_path), QUICK)

@@ -109,8 +109,10 @@ def turn_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def document_themes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document with two themes; every eleventh strength is missing.
+def document_themes(spark: SparkSession, folder: str, failures: bool = False) -> DataFrame:
+    """One row per document with two themes, the whole text describing the first.
+
+    Every eleventh strength is missing; with ``failures`` every 13th document failed.
 
     ``cluster_number`` stands for a found cluster: one per language. Written, as
     stage 2 writes its themes.
@@ -118,10 +120,10 @@ def document_themes(spark: SparkSession, folder: str) -> DataFrame:
     toks = table(spark, folder, "documents").withColumn("_t", tokens(F.col("text")))
     strength = F.when(F.col("doc_id") % 11 != 10, F.col("doc_id") % 11).cast("double")
 
-    def theme(name: Column, value: Column, coverage: Column) -> Column:
+    def theme(name: Column, description: Column, value: Column, coverage: Column) -> Column:
         return F.struct(
             name.alias("name"),
-            first_sentence(F.col("text")).alias("description"),
+            description.alias("description"),
             F.slice("_t", 1, 2).alias("related_topics"),
             value.alias("strength"),
             coverage.alias("coverage"),
@@ -134,13 +136,19 @@ def document_themes(spark: SparkSession, folder: str) -> DataFrame:
         F.array(
             theme(
                 F.array_join(F.slice("_t", 1, 3), " "),
+                F.col("text"),
                 strength,
                 F.lit(None).cast("string"),
             ),
-            theme(F.col("source"), F.lit(9.0), F.concat(F.lit("all of "), "lang")),
+            theme(
+                F.col("source"),
+                first_sentence(F.col("text")),
+                F.lit(9.0),
+                F.concat(F.lit("all of "), "lang"),
+            ),
         ).alias("themes"),
         F.array_size("_t").alias("source_topics_count"),
-        F.when(F.col("doc_id") % 13 == 12, F.lit("json_parse_failed")).alias("error"),
+        F.when(F.lit(failures) & (F.col("doc_id") % 13 == 12), F.lit("json_parse_failed")).alias("error"),
     )
     return written(rows)
 
@@ -178,10 +186,10 @@ def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def word_files(spark: SparkSession, folder: str) -> DataFrame:
+def word_files(spark: SparkSession, folder: str, cut: bool = False) -> DataFrame:
     """Every document as a Word file: each line a paragraph, the first a heading.
 
-    Each has a one-row table of language and source; every 17th file is cut off.
+    Each has a one-row table of language and source; with ``cut`` every 17th is cut off.
     """
 
     @F.pandas_udf("binary")
@@ -222,5 +230,5 @@ def word_files(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("source", F.lit("-"), "lang", F.lit("_"), "doc_id", F.lit(".docx")).alias(
             "filename"
         ),
-        pack("text", "lang", "source", F.col("doc_id") % 17 == 16).alias("content"),
+        pack("text", "lang", "source", F.lit(cut) & (F.col("doc_id") % 17 == 16)).alias("content"),
     )

@@ -138,7 +138,7 @@ SELECT page_id,
 FROM d"""
 
 WORD_BASE = f"""
-WITH f AS (SELECT doc_id, lang, source, doc_id % 17 <> 16 AS ok,
+WITH f AS (SELECT doc_id, lang, source, TRUE AS ok,
     source || '-' || lang || '_' || doc_id AS stem, string_split(text, chr(10)) AS lines
   FROM documents)"""
 ORACLES["word_to_markdown"] = f"""{WORD_BASE},
@@ -149,15 +149,15 @@ g AS (SELECT *, {clean(
     "|| '| --- | --- |' || chr(10)]), chr(10) || chr(10))")} AS body FROM f),
 t AS (SELECT *, {TITLE.format("translate(stem, '_-', '  ')")} AS title FROM g)
 SELECT doc_id, title, stem || '.md' AS output_name,
-  CASE WHEN ok THEN '# ' || title || chr(10) || chr(10) || body END AS content,
-  CASE WHEN ok THEN len({words("body")})::BIGINT END AS word_count, ok FROM t"""
+  '# ' || title || chr(10) || chr(10) || body AS content,
+  len({words("'# ' || title || chr(10) || chr(10) || body")})::BIGINT AS word_count, ok FROM t"""
 BOLD = "CASE WHEN i % 2 = 0 THEN '**' ELSE '*' END"
 ORACLES["word_to_plain_markdown"] = f"""{WORD_BASE}
-SELECT doc_id, ok, CASE WHEN ok THEN array_to_string(list_concat(
+SELECT doc_id, ok, array_to_string(list_concat(
   list_transform(lines, lambda l, i: CASE WHEN {strip('l')} = '' THEN ''
     WHEN i = 1 THEN '## ' || {strip('l')} WHEN split_part(l, ' ', 1) = '' THEN {strip('l')}
     ELSE replace({strip('l')}, split_part(l, ' ', 1), {BOLD} || split_part(l, ' ', 1) || {BOLD}) END),
-  ['', '| ' || lang || ' | ' || source || ' |', '| --- | --- |']), chr(10)) END AS content
+  ['', '| ' || lang || ' | ' || source || ' |', '| --- | --- |']), chr(10)) AS content
 FROM f"""
 ORACLES["conversion_outcome"] = """
 SELECT CASE WHEN doc_id % 17 = 16 THEN 'BadZipFile: File is not a zip file' END AS error,
@@ -278,10 +278,10 @@ rec AS (SELECT a.conv_id, word_count, CASE WHEN a.conv_id % 10 = 9 THEN 'unreada
 
 
 THEMES = f"""themes AS (
-  SELECT doc_id, ascii(lang) AS cluster_number, doc_id % 13 = 12 AS failed,
+  SELECT doc_id, ascii(lang) AS cluster_number,
     unnest([0, 1]) AS theme_no,
     unnest([array_to_string(t[1:3], ' '), source]) AS name,
-    {SENTENCE.format('text')} AS description,
+    unnest([text, {SENTENCE.format('text')}]) AS description,
     unnest([CASE WHEN doc_id % 11 <> 10 THEN (doc_id % 11)::DOUBLE END, 9.0::DOUBLE]) AS strength,
     unnest([NULL, 'all of ' || lang]) AS coverage
   FROM (SELECT *, {toks('text')} AS t FROM documents))"""
@@ -290,9 +290,11 @@ THEMES = f"""themes AS (
 # --- prompts and answers -------------------------------------------------------
 
 ORACLES["topic_prompts"] = f"""
-SELECT doc_id, {text(P.TOPIC_REQUEST.format(max_topics=S.max_topics) + chr(10) + 'Interview:' + chr(10))}
-  || substring(text, 1, {S.content_cap}) || {text(P.ANSWER_WITH + P.TOPIC_ANSWER_SHAPE)} AS prompt
-FROM documents"""
+SELECT doc_id, window_no, {text(P.TOPIC_REQUEST.format(max_topics=S.max_topics) + chr(10) + 'Interview:' + chr(10))}
+  || substring(text, window_no * {S.content_cap} + 1, {S.content_cap})
+  || {text(P.ANSWER_WITH + P.TOPIC_ANSWER_SHAPE)} AS prompt
+FROM (SELECT doc_id, text,
+    unnest(range(greatest(1, ceil(length(text) / {S.content_cap})::BIGINT))) AS window_no FROM documents)"""
 
 ORACLES["theme_prompts"] = f"""
 WITH RECURSIVE {records()}
@@ -470,7 +472,7 @@ FROM g QUALIFY theme_no < 4"""
 WEIGHTED = f"""weighted AS (SELECT doc_id, string_agg(array_to_string(list_transform(
       range(greatest(1, floor(coalesce(strength, 5) / 3))::BIGINT),
       lambda i: name || ' ' || description || ' ' || coalesce(coverage, '')), ' '), ' '
-    ORDER BY theme_no) AS text FROM themes WHERE NOT failed GROUP BY doc_id)"""
+    ORDER BY theme_no) AS text FROM themes GROUP BY doc_id)"""
 ORACLES["theme_weighting"] = f"WITH {THEMES}, {WEIGHTED} SELECT doc_id, text FROM weighted"
 ORACLES["cluster_count"] = """
 SELECT source, lang, count(*) AS articles,

@@ -40,6 +40,7 @@ K = 20
 
 # Positions and counts that SQL gives as BIGINT.
 WIDE = {
+    "topic_prompts": ["window_no"],
     "vocabulary_topn": ["slot"],
     "tfidf_within_article": ["topic_no"],
     "topic_similarity_pairs": ["i", "j"],
@@ -192,7 +193,7 @@ def word_to_plain_markdown(spark, folder):
 
 @query
 def conversion_outcome(spark, folder):
-    blocks = word_blocks(D.word_files(spark, folder))
+    blocks = word_blocks(D.word_files(spark, folder, cut=True))
     return U.failure_counts(blocks.select("error"))
 
 
@@ -201,10 +202,7 @@ def conversion_outcome(spark, folder):
 
 @query
 def topic_prompts(spark, folder):
-    docs = D.documents(spark, folder)
-    s = Settings()
-    prompt = P.topic_prompt(F.col("content"), s.max_topics, s.content_cap)
-    return docs.select("doc_id", prompt.alias("prompt"))
+    return one.topic_prompts(D.documents(spark, folder), "doc_id", Settings())
 
 
 @query
@@ -611,7 +609,7 @@ def first_match_lookup(spark, folder):
 
 @query
 def stage2_summary(spark, folder):
-    rows = D.document_themes(spark, folder)
+    rows = D.document_themes(spark, folder, failures=True)
     points = silhouette(_embeddings(spark, folder), "vec_id", "label", "embedding").first()
     return U.stage2_summary(
         U.stage1_summary(_records(spark, folder)),

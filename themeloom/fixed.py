@@ -35,6 +35,7 @@ STAGE2_DESCRIPTION = "Cross-article theme clustering"
 JSON_PARSE_FAILED = "json_parse_failed"
 NOT_AN_OBJECT = "not_an_object"
 BAD_TOPIC = "bad_topic"
+BAD_THEME = "bad_theme"
 NO_TOPICS = "no_topics"
 NO_THEMES = "no_themes"
 NO_ARTICLES = "no_articles"

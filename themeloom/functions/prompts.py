@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from themeloom import fixed
-from themeloom.functions.text import content_cap
 
 TOPIC_REQUEST = (
     "Read the interview below and list its main topics, at most {max_topics}.\n"
@@ -37,10 +36,10 @@ CLUSTER_ANSWER_SHAPE = (
 ANSWER_WITH = "\n\nAnswer with this JSON object only:\n"
 
 
-def topic_prompt(content: Column, max_topics: int, cap: int) -> Column:
+def topic_prompt(content: Column, max_topics: int) -> Column:
     return F.concat(
         F.lit(TOPIC_REQUEST.format(max_topics=max_topics) + "\nInterview:\n"),
-        content_cap(content, cap),
+        content,
         F.lit(ANSWER_WITH + TOPIC_ANSWER_SHAPE),
     )
 

@@ -55,21 +55,21 @@ def parsed_topics(answers: DataFrame) -> DataFrame:
     An answer whose topic lacks a name or description fails as a whole.
     """
     parsed = parsed_answers(answers, fixed.TOPICS_ANSWER)
-    incomplete = F.exists(
-        "topics", lambda t: t.isNull() | t["name"].isNull() | t["description"].isNull()
-    )
-    error = F.coalesce("error", F.when(incomplete, F.lit(fixed.BAD_TOPIC)))
-    return parsed.withColumn("error", error).withColumn(
-        "topics",
-        F.when(F.col("error").isNull() & F.col("topics").isNotNull(), F.col("topics")).otherwise(
-            F.array().cast(f"array<{fixed.TOPIC_TYPE}>")
-        ),
-    )
+    return _complete_items(parsed, "topics", fixed.TOPIC_TYPE, fixed.BAD_TOPIC)
 
 
 def parsed_themes(answers: DataFrame) -> DataFrame:
+    """Theme answers, with the same rule: ``themes`` is never NULL."""
     parsed = parsed_answers(answers, fixed.THEMES_ANSWER)
-    return parsed.withColumn(
-        "themes",
-        F.coalesce("themes", F.array().cast(f"array<{fixed.THEME_TYPE}>")),
+    return _complete_items(parsed, "themes", fixed.THEME_TYPE, fixed.BAD_THEME)
+
+
+def _complete_items(parsed: DataFrame, items: str, kind: str, problem: str) -> DataFrame:
+    incomplete = F.exists(items, lambda t: t.isNull() | t["name"].isNull() | t["description"].isNull())
+    error = F.coalesce("error", F.when(incomplete, F.lit(problem)))
+    return parsed.withColumn("error", error).withColumn(
+        items,
+        F.when(F.col("error").isNull() & F.col(items).isNotNull(), F.col(items)).otherwise(
+            F.array().cast(f"array<{kind}>")
+        ),
     )

@@ -60,10 +60,18 @@ def markdown_name(file_name: Column) -> Column:
 
 
 def content_cap(text: Column, limit: int) -> Column:
-    """The part of an article that a prompt shows; only prompts use it."""
+    """The first part of an article, as long as a prompt may show."""
     return F.substring(text, 1, limit)
 
 
+def content_windows(text: Column, limit: int) -> Column:
+    """The whole article in parts of at most ``limit`` characters, one if it is empty."""
+    last = F.greatest(F.ceil(F.length(text) / limit).cast("int") - 1, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.substr(text, i * limit + 1, F.lit(limit))
+    )
+
+
 def metadata_envelope(file_name: Column, count: Column, content: Column) -> Column:
     return F.format_string(fixed.ENVELOPE_FORMAT, file_name, count.cast("string"), content)
 

@@ -45,6 +45,8 @@ def fit_kmeans(
     The start depends on the partition layout, so rows are laid out by key hash
     and sorted, in a number of partitions that follows from their count alone.
     """
+    if k == 1:
+        return _one_cluster(vectors, key, features, seeds[0])
     rows = vectors.count()
     laid_out = (
         vectors.select(key, array_to_vector(F.col(features)).alias("features"))
@@ -80,6 +82,15 @@ def fit_kmeans(
     )
 
 
+def _one_cluster(vectors: DataFrame, key: str, features: str, seed: int) -> Clustering:
+    """Every row in cluster 0 around the mean of all; k-means itself starts at two."""
+    assigned = written(vectors.select(key, F.lit(0).alias("cluster_number")))
+    whole = vectors.select(F.lit(0).alias("cluster_number"), features)
+    mean = list(centroids(whole, "cluster_number", features).first()["centre"])
+    cost = inertia(nearest_centre(vectors, features, {0: mean})).first()["inertia"]
+    return Clustering(assigned, [mean], cost, seed)
+
+
 def centroids(points: DataFrame, cluster: str, features: str) -> DataFrame:
     """``cluster, centre``: mean vector per label, summed before the shuffle."""
     vector = array_to_vector(F.col(features).cast("array<double>"))

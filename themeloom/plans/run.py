@@ -43,10 +43,13 @@ class Analysis:
 
 
 def load_articles(spark: SparkSession, job: Analysis) -> DataFrame:
-    """Markdown files if the analysis names a folder of them, else the article table."""
+    """Markdown files if the analysis names a folder of them, else the article table.
+
+    Word files of one stem, such as a.doc and a.docx, are one article.
+    """
     if job.interviews is not None:
         return A.read_markdown_files(spark, job.interviews)
-    return spark.read.parquet(job.articles)
+    return A.one_per_key(spark.read.parquet(job.articles), "filename")
 
 
 def convert(spark: SparkSession, job: Analysis) -> DataFrame:

@@ -11,6 +11,7 @@ from themeloom import fixed
 from themeloom.functions.prompts import topic_prompt
 from themeloom.functions.responses import parsed_topics
 from themeloom.functions.scoring import topic_text
+from themeloom.functions.text import content_windows
 from themeloom.operators.completion import complete
 from themeloom.operators.grouping import has_later_blocks, topic_leaders
 from themeloom.operators.merging import article_records, merge_topics
@@ -62,24 +63,35 @@ def segments_of(articles: DataFrame, key: str) -> DataFrame:
     return out.where(F.col("segment_no").isNotNull())
 
 
+def topic_prompts(articles: DataFrame, key: str, settings: Settings) -> DataFrame:
+    """``key, window_no, prompt``: one prompt per window of each article."""
+    windows = content_windows(F.col("content"), settings.content_cap)
+    parts = articles.select(key, F.posexplode_outer(windows).alias("window_no", "part"))
+    return parts.select(
+        key,
+        F.coalesce("window_no", F.lit(0)).alias("window_no"),
+        topic_prompt(F.col("part"), settings.max_topics).alias("prompt"),
+    )
+
+
 def topic_responses(
     articles: DataFrame, key: str, settings: Settings, respond: Callable[[str], str] | None
 ) -> DataFrame:
-    """``key, response, error`` for every readable article, one row each.
+    """``key, window_no, response, error`` for every readable article.
 
-    Without ``respond`` the built-in answers are used; an article for which they
-    find nothing answers with an empty list.
+    ``respond`` is asked once per window of ``settings.content_cap`` characters, over
+    the whole article. Without it the built-in answers are used, one row per article;
+    one for which they find nothing answers with an empty list.
     """
     readable = articles.where(F.col("error").isNull())
     if respond is not None:
-        prompt = topic_prompt(F.col("content"), settings.max_topics, settings.content_cap)
-        asked = complete(readable.select(key, prompt.alias("prompt")), respond)
-        return asked.select(key, "response", "error")
+        windows = topic_prompts(readable, key, settings)
+        return complete(windows, respond).select(key, "window_no", "response", "error")
     answers = topic_answers(
         segments_of(readable, key), key, "segment_no", "text", settings.max_topics
     )
     return readable.select(key).join(answers, key, "left").select(
-        key, F.coalesce("response", F.lit('{"topics":[]}')).alias("response"), "error"
+        key, F.lit(0).alias("window_no"), F.coalesce("response", F.lit('{"topics":[]}')).alias("response"), "error"
     )
 
 
@@ -90,9 +102,19 @@ def topics_of(parsed: DataFrame, key: str) -> DataFrame:
 
 
 def parsed_responses(articles: DataFrame, responses: DataFrame, key: str) -> DataFrame:
-    """Topics per article with word count and method, or the error."""
+    """Topics per article with word count and method, or the error.
+
+    The topics of its windows are joined in order; an article of which one window
+    fails has that window's error and no topics.
+    """
+    window = F.struct("window_no", "topics", "error")
+    windows = parsed_topics(responses).groupBy(key).agg(F.array_sort(F.collect_list(window)).alias("w"))
+    failed = F.get(F.filter("w.error", lambda e: e.isNotNull()), F.lit(0))
+    topics = F.when(failed.isNull(), F.flatten("w.topics")).otherwise(
+        F.array().cast(f"array<{fixed.TOPIC_TYPE}>")
+    )
     return (
-        parsed_topics(responses)
+        windows.select(key, topics.alias("topics"), failed.alias("error"))
         .join(articles.select(key, "word_count"), key)
         .withColumn("extraction_method", F.lit(fixed.EXTRACTION_METHOD))
     )
@@ -106,7 +128,8 @@ def stage1(
 ) -> DataFrame:
     """Records of all articles; ``responses`` defaults to the built-in answers.
 
-    ``articles`` has ``key, content, word_count, error`` and any columns to carry.
+    ``articles`` has ``key, content, word_count, error`` and any columns to carry;
+    ``responses`` has what ``topic_responses`` gives.
     """
     if responses is None:
         responses = topic_responses(articles, key, settings, None)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import word_count
+from themeloom.operators.storage import written
 
 
 def read_markdown_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +39,24 @@ def read_markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def one_per_key(articles: DataFrame, key: str) -> DataFrame:
+    """One row per key: a readable one if there is any, then the least content.
+
+    Only the rows of repeated keys are moved; NULL keys stay as they are.
+    """
+    repeated = articles.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    repeated = written(repeated)
+    fields = [c for c in articles.columns if c != key]
+    order = F.struct(F.col("error").isNotNull(), "content", "error")
+    kept = (
+        articles.join(repeated, key, "left_semi")
+        .groupBy(key)
+        .agg(F.min_by(F.struct(*fields), order).alias("_row"))
+        .select(key, "_row.*")
+    )
+    return articles.join(repeated, key, "left_anti").unionByName(kept)
+
+
 def write_articles(articles: DataFrame, path: str) -> None:
     """The article table that later stages read."""
     articles.write.mode("overwrite").parquet(path)

@@ -179,12 +179,13 @@ def blocks_to_articles(blocks: DataFrame, style: str = "clean") -> DataFrame:
         "content", F.when(F.col("error").isNull(), build(F.col("paragraphs"), F.col("tables")))
     )
     title = document_title(file_stem(F.col("filename")))
+    # the plain converter writes no title
+    stored = titled(title, F.col("content")) if style == "clean" else F.col("content")
     return made.select(
         *[c for c in blocks.columns if c not in ("paragraphs", "tables", "error")],
         title.alias("title"),
         markdown_name(F.col("filename")).alias("output_name"),
-        # the plain converter writes no title
-        (titled(title, F.col("content")) if style == "clean" else F.col("content")).alias("content"),
-        word_count(F.col("content")).alias("word_count"),
+        stored.alias("content"),
+        word_count(stored).alias("word_count"),
         "error",
     )

@@ -84,6 +84,18 @@ def test_quality_counts(docs, rows, empty):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_common_words(spark):
+    own = {"en": "the of and to in that for on with", "de": "der die und den von das mit sich ist"}
+    made = lambda n, common: " ".join(rng.choice(common.split()) if rng.random() < 0.16 else f"{rng.choice(VOCABULARY)}{rng.choice(VOCABULARY)}" for _ in range(n))
+    clean = [(i, made(200, own[g]), g) for i in range(200) for g in [rng.choice(["en", "de"])]]
+    wrong = [(300 + i, made(200, own["de" if g == "en" else "en"]), g) for i, g in enumerate(["en", "de"])]
+    menu = [(400 + i, made(n, "entry").replace("entry", "menu").replace(" ", "\n"), g) for i, (n, g) in enumerate([(200, "en"), (60, "de"), (200, None)])]
+    unnamed = [(500, made(200, own["de"]), None), (501, made(200, own["en"]), "it"), (502, made(200, "x"), "it")]
+    frame = spark.createDataFrame(clean + wrong + menu + unnamed, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.keep_good(frame).collect()}
+    assert kept == {*range(200), 500, 501, 502}
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5])], "p array<double>, q array<double>")
     assert [r[0] for r in df.select(quality.js_distance(F.col("p"), F.col("q"))).collect()] == [1.0, 0.0]

@@ -6,9 +6,14 @@ if the Jensen-Shannon distance of its histogram to the reference is too large, o
 it breaks a plain rule.
 
 * NULL and empty text: no words, so the plain rule rejects it.
-* NULL lang, or a language with too little text for a reference: the reference of all
-  documents together.
-* Fewer characters or words than the guards ask for: the histogram is not judged.
+* A text is also too far from a reference at a share of the distance that a text without
+  any common word has: junk and texts of another language come near to it.
+* NULL lang: the reference of all documents together, and the nearest language's for the
+  share.
+* A language with too little text for a reference: the reference of all documents, by the
+  absolute limits only, since a clean text uses the words of one language.
+* Fewer characters or words than the guards ask for: the histogram is not judged. A
+  reference with so few common words that a text may well have none gives no share.
 * Equal rows get equal results; NULL doc_id is kept as it is; other columns are ignored.
 * An empty table gives an empty result.
 """
@@ -58,6 +63,11 @@ class QualityRules:
     judged_words: int = 100
     class_distance: float = 0.3
     word_distance: float = 0.5
+    # shares of the distance of a text without common words; the second is for texts of
+    # less than judged_words, where so many common words are expected
+    word_share: float = 0.75
+    short_share: float = 0.95
+    expected_common: float = 5.0
     reference_words: int = 10_000
 
 
@@ -181,22 +191,40 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), key:
     for part in (pooled[:CLASSES], pooled[CLASSES:]):
         total = sum(x or 0 for x in part) or 1
         everywhere.append(F.array(*(F.lit((x or 0) / total) for x in part)))
-    own = written(
-        refs.where(F.col("lang").isNotNull() & (F.col("_all_words") >= rules.reference_words)).select(
-            "lang",
-            _shares("_all_classes", "_all_chars").alias("_ref_classes"),
-            _shares("_all_counts", "_all_words").alias("_ref_counts"),
-        )
+    own = refs.where(F.col("lang").isNotNull() & (F.col("_all_words") >= rules.reference_words)).select(
+        "lang",
+        _shares("_all_classes", "_all_chars").alias("_ref_classes"),
+        _shares("_all_counts", "_all_words").alias("_ref_counts"),
+    )
+    bare = F.lit([0.0] * len(COMMON_WORDS) + [1.0])
+    ref = F.struct(F.col("_ref_counts").alias("p"), js_distance(bare, F.col("_ref_counts")).alias("bare"))
+    own = written(own.withColumn("_near", F.array(ref)))
+    # rows without a language take the nearest of all references
+    lost = own.agg(F.flatten(F.collect_list("_near")).alias("_near")).select(
+        F.lit(None).cast(own.schema["lang"].dataType).alias("lang"),
+        F.lit(None).cast("array<double>").alias("_ref_classes"),
+        F.lit(None).cast("array<double>").alias("_ref_counts"),
+        "_near",
     )
-    joined = stats.join(bounded_broadcast(own), "lang", "left")
+    own = written(own.unionByName(lost)).withColumnRenamed("lang", "_lang")
+    joined = stats.join(bounded_broadcast(own), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    joined = joined.withColumn("_own", _shares("_counts", "n_words"))
     classes = js_distance(_shares("_classes", "_chars"), F.coalesce("_ref_classes", everywhere[0]))
-    counts = js_distance(_shares("_counts", "n_words"), F.coalesce("_ref_counts", everywhere[1]))
+    counts = js_distance(F.col("_own"), F.coalesce("_ref_counts", everywhere[1]))
+    telling = F.filter("_near", lambda r: F.col("n_words") * (1 - F.element_at(r["p"], -1)) >= rules.expected_common)
+    shares = F.array_min(F.transform(telling, lambda r: js_distance(F.col("_own"), r["p"]) / r["bare"]))
     scored = joined.select(
         "*",
         F.coalesce(F.when(F.col("_chars") >= rules.judged_chars, classes), F.lit(0.0)).alias("class_distance"),
         F.coalesce(F.when(F.col("n_words") >= rules.judged_words, counts), F.lit(0.0)).alias("word_distance"),
+        F.coalesce(F.when(F.col("n_words") >= rules.min_words, shares), F.lit(0.0)).alias("_share"),
+    )
+    most = F.when(F.col("n_words") >= rules.judged_words, rules.word_share).otherwise(rules.short_share)
+    far = (
+        (F.col("class_distance") > rules.class_distance)
+        | (F.col("word_distance") > rules.word_distance)
+        | (F.col("_share") > most)
     )
-    far = (F.col("class_distance") > rules.class_distance) | (F.col("word_distance") > rules.word_distance)
     return scored.select(
         "_key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance",

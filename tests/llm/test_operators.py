@@ -367,6 +367,24 @@ def test_toxicity_ignores_identity(spark, docs, empty):
     assert toxicity.toxicity(empty, lab).count() == 0
 
 
+def test_toxicity_score_of_swapped_texts():
+    texts, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        named = rng.random() < (0.8 if toxic else 0.1)
+        texts.append(f"{prose(15)} {'vilify' if toxic else ''} {rng.choice(['muslims', 'immigrants']) if named else ''}")
+        labels.append(int(toxic))
+    y = __import__("numpy").array(labels)
+    free, tied = (toxicity.Scorer(toxicity.fit(texts, y, toxicity.ToxicRules(counterfactual=c))) for c in (0.0, 10.0))
+    logit = lambda p: __import__("math").log(p / (1 - p))
+    for told, other in (("muslims", "jews"), ("immigrants", "citizens")):
+        changes = {}
+        for score in (free, tied):
+            plain = [prose(15) for _ in range(30)]
+            changes[score] = max(abs(logit(score(f"{t} {told}")) - logit(score(f"{t} {other}"))) for t in plain)
+        assert changes[tied] < 0.15 < 0.5 < changes[free]
+
+
 def test_language_accuracy(spark, docs, rows, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.languages(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out").collect()

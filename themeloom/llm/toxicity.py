@@ -3,7 +3,8 @@
 A logistic model over the presence of word beginnings, since insults come in compounds
 and inflections. For each labelled text that names a group,
 the identity term is swapped for the others of its family, and the squared change of the
-score is added to the loss, so that a neutral mention of a group weighs nothing. The fit
+score is added to the loss, so that a neutral mention of a group weighs nothing. Identity
+terms have no beginnings: a swap changes their own weights and nothing else. The fit
 reads a bounded sample of labelled rows in one task; every text is scored.
 
 * NULL and empty text: the score of a text without words, from the intercept alone.
@@ -69,8 +70,9 @@ def words_of(text: str | None) -> set[str]:
 
 def features(words: set[str]) -> set[str]:
     found = words & NAMED
+    others = words - NAMED
     for n in BEGINNINGS:
-        starts = Counter([w[:n] for w in words])
+        starts = Counter([w[:n] for w in others])
         found.update(f"{n}:{s}" for s in starts)
         found.update(f"{n}:{s}--" for s, k in starts.items() if k >= SEVERAL)
     return found
@@ -149,8 +151,9 @@ class Scorer:
     def __call__(self, text: str | None) -> float:
         words = words_of(text)
         z = self.intercept + sum(self.words[w] for w in words & self.words.keys())
+        others = words - NAMED
         for n, known in self.starts.items():
-            met = Counter([w[:n] for w in words])
+            met = Counter([w[:n] for w in others])
             for s in met.keys() & known.keys():
                 once, often = known[s]
                 z += once + (often if met[s] >= SEVERAL else 0.0)

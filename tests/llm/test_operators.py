@@ -150,6 +150,17 @@ def test_simhash_groups(docs, rows, empty):
     assert kept.columns == docs.columns
 
 
+def test_simhash_kept_rows(spark):
+    rows = [(5, BASE[0]), (None, BASE[0]), (None, BASE[1]), (None, BASE[2]), (None, BASE[2]), (7, BASE[0]), (7, BASE[3]), (8, BASE[4]), (8, BASE[4]), (9, BASE[3])]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(own_fingerprint(t), []).append((i is None, i or 0, t))
+    assert len(groups) == 5 and all(bin(a ^ b).count("1") > 2 for a in groups for b in groups if a != b)
+    expected = [(None if least[0] else least[1], least[2]) for least in map(min, groups.values())]
+    assert told(kept) == sorted(expected, key=str)
+
+
 def test_many_close_fingerprints(spark):
     base = rng.getrandbits(64)
     prints = {base}

@@ -15,9 +15,11 @@ linear in its members. Components are joined from these.
 
 * NULL and empty text, or white space only: fingerprint zero, linked like any other.
 * Fewer words than a shingle has: the whole sequence is one shingle.
-* Repeated rows and rows that share a doc_id: each is returned with its component.
+* Repeated rows and rows that share a doc_id: each is returned with its component by
+  ``near_duplicates``. ``keep_one_of_each`` tells rows by id and text, so that other texts
+  under an id stay, and keeps one of equal rows.
 * NULL doc_id: counts as no id when the smallest is taken; a component of NULL ids
-  only has NULL.
+  only has NULL. ``keep_one_of_each`` takes it last and keeps one row of such a component.
 * Other columns are ignored by ``near_duplicates`` and kept by ``keep_one_of_each``.
 * An empty table gives an empty result.
 """
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import connected_components
+from themeloom.llm.common import connected_components, fresh, row_key
 from themeloom.operators.storage import written
 
 ONES = (1 << 64) - 1
@@ -76,18 +78,18 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row; texts never leave their task."""
+    """doc_id, h (hash of the text) and fp (the 64 bits as a long) of every row; texts never leave their task."""
     shingle, seed = rules.shingle_words, rules.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)]
+            found = [fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)]
             bits = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), bits], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits], names=["doc_id", "h", "fp"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, fp long")
 
 
 # --- the index ---------------------------------------------------------------
@@ -237,17 +239,22 @@ def fingerprint_links(distinct: DataFrame, rules: SimHashRules = SimHashRules())
 # --- documents ---------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row."""
-    own = written(fingerprints(docs, rules))
-    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def component_members(own: DataFrame, value: Column, rules: SimHashRules) -> DataFrame:
+    """component_id, the smallest ``value`` in the component, of every fingerprint."""
+    classes = written(own.groupBy("fp").agg(F.min(value).alias("least")))
     roots = written(connected_components(fingerprint_links(classes.select("fp"), rules)))
     linked = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
     smallest = written(linked.groupBy("root").agg(F.min("least").alias("component")))
     moved = written(linked.join(smallest, "root").select("fp", "component"))
-    table = written(
+    return written(
         classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     )
+
+
+def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row."""
+    own = written(fingerprints(docs, rules).drop("h"))
+    table = component_members(own, F.col("doc_id"), rules)
     # a fingerprint may hold a large share of all rows: the join is left to be split
     return own.join(table, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -255,10 +262,22 @@ def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> Da
 
 
 def keep_one_of_each(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
-    """The row with the smallest doc_id of every component, with all its columns.
+    """One row of every component, with all its columns: the one with the smallest doc_id.
 
-    Rows that share the kept doc_id all stay, as do components whose ids are all NULL.
+    Of several texts under that id in one component, the one with the smallest hash.
     """
-    gone = near_duplicates(docs, rules).where("component_id <> doc_id or doc_id is null and component_id is not null")
-    gone = written(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    mark = fresh(docs, "_row")
+    own = written(fingerprints(docs, rules))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    table = component_members(own, order, rules)
+    told = own.join(table, "fp").select(
+        F.struct(F.col("doc_id").alias("id"), "h").alias(mark), (order == F.col("component_id")).alias("kept")
+    )
+    told = written(told.groupBy(mark).agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    gone = told.where("not kept").select(mark)
+    rows = docs.withColumn(mark, row_key("doc_id", "text")).join(gone, mark, "left_anti")
+    again = told.where("kept").select(mark)
+    if again.isEmpty():
+        return rows.drop(mark)
+    rest = rows.join(again, mark, "left_anti")
+    return rest.unionByName(rows.join(again, mark, "left_semi").dropDuplicates([mark])).drop(mark)

@@ -276,6 +276,22 @@ def test_line_dedup_text(spark):
     assert got == {1: (f"{twice}\nab", 33), 2: ("own words of the second text\nab", 31)}
 
 
+def test_line_dedup_keeps_every_line(spark):
+    shared = [prose(9) for _ in range(12)]
+    near = [x[:10] + "q" + x[11:] for x in shared]
+    texts = ["\n".join(shared[:4])]
+    # nearly all repeated, with words of its own; holds the first place of a later line
+    texts += ["\n".join([*shared[:4] * 3, shared[4], "own"]), "\n".join([shared[4], near[5], shared[5]])]
+    texts += ["\n".join([shared[0]] * 30 + ["a unique line at the very end"]), "\n".join([shared[1], " ", near[1]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup_lines(docs).collect()}
+    assert sorted(kept) == [0, 1, 2, 3]
+    left = [x.strip(" ") for own in kept.values() for x in own]
+    judged = {x.strip(" ") for t in texts for x in t.split("\n") if len(x.strip(" ")) >= 20}
+    assert all(any(edit_distance(x, y) <= 2 for y in left) for x in judged)
+    assert kept[1] == [shared[4], "own"] and kept[3] == ["a unique line at the very end"]
+
+
 def test_archives(spark, tmp_path):
     pages = [(3, "u", "same"), (1, "v\r\nw", "same"), (2, None, None), (5, "u", ""), (9, "u", "WARC/1.1\r\n\r\nodd\r\n\r\n"), (9, "u", "é" * 70_000), (None, "u", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -39,8 +39,6 @@ LAST_ID = (1 << 63) - 1
 class LineRules:
     max_edits: int = 2
     min_chars: int = 20
-    # a document that loses this share of its words to earlier ones goes as a whole
-    emptied_share: float = 0.8
 
 
 def occurrences(docs: DataFrame, rules: LineRules) -> DataFrame:
@@ -280,7 +278,7 @@ def line_report(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents without their dropped lines; all columns stay, n_chars follows the text.
 
-    A document that loses ``emptied_share`` of its words or more is a copy and goes.
+    A document goes if lines were dropped from it and nothing with a word is left.
     """
     mark, drops = fresh(docs, "_row"), fresh(docs, "_drops")
     found = dropped_lines(docs.select("doc_id", "text"), rules)
@@ -295,7 +293,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         rest,
         F.when(cut, F.array_join(F.transform(left, lambda i: F.get(mark, i)), "\n")).otherwise(F.col("text")),
     )
-    lost = F.size(spaced_words(F.col(rest))) <= (1 - rules.emptied_share) * F.size(spaced_words(F.col("text")))
+    lost = F.size(spaced_words(F.col(rest))) == 0
     changed = {"text": F.col(rest)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(cut, F.length(rest)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

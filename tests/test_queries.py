@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from themeloom.catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages conversations".split()
@@ -27,9 +28,10 @@ def comparable(row):
     )
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+# the queries of the llm subpackage have their own test, over their own tables
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted((comparable(r[c] for c in columns) for r in df.collect()), key=str)
     if name not in ORACLES:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from themeloom.llm import (
-    decontaminate, language, lines, mixing, pii, quality, secrets, simhash, toxicity, warc
+    decontaminate, language, lines, mixing, pieces, pii, quality, secrets, simhash, toxicity, warc, whitening
 )
 from themeloom.llm.sql import LLM_SQL
 from themeloom.shipping import ship
@@ -79,6 +79,16 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, folder, "documents")).drop("_key")
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_report(table(spark, folder, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from themeloom.llm import pieces, whitening
 
@@ -107,3 +108,82 @@ def test_solver_pieces():
     for v in values[:8]:
         z = right @ whitening.twisted_vector(a, b, v)
         assert np.linalg.norm(r.T @ r @ z - v * z) <= 1e-10 * v
+
+
+def brute_manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text); the contract's tree, built directly."""
+    import zlib
+
+    def H(parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def enc(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(r):
+        return H(enc(v) for v in r)
+
+    def tamper(r):
+        d, text = r[0], r[4]
+        if d is not None and text is not None and zlib.crc32(str(d).encode()) % 3 == 0:
+            text = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        return (*r[:4], text)
+
+    def tree(nodes):
+        layers = [list(nodes)]
+        while len(layers[-1]) > 1:
+            prev = layers[-1]
+            layers.append([H(prev[i : i + 8]) for i in range(0, len(prev), 8)])
+        return layers
+
+    def path(layers, idx, start):
+        proof, cur = [], start
+        for layer in layers[:-1]:
+            run = list(range(idx - idx % 8, min(idx - idx % 8 + 8, len(layer))))
+            members = [layer[m] if m != idx else cur for m in run]
+            proof += [layer[m] for m in run if m != idx]
+            cur, idx = H(members), idx // 8
+        return proof, cur
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    order = {}
+    for lang in langs:
+        mine = sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        order[lang] = mine
+    lower = {lang: tree([leaf(r) for r in order[lang]]) for lang in langs}
+    upper = tree([lower[lang][-1][0] for lang in langs])
+    root = upper[-1][0]
+    out = []
+    for j, lang in enumerate(langs):
+        for i, r in enumerate(order[lang]):
+            p1, _ = path(lower[lang], i, leaf(r))
+            p2, _ = path(upper, j, lower[lang][-1][0])
+            _, sub = path(lower[lang], i, leaf(tamper(r)))
+            _, folded = path(upper, j, sub)
+            out.append((r[0], leaf(r), lower[lang][-1][0], root, H(p1 + p2), folded, folded == root))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(1, 0, 0), (3, 1, 0), (70, 9, 1), (600, 2, 130)])
+def test_merkle_against_brute_force(spark, sizes):
+    from themeloom.llm import merkle
+
+    langs = ["en", "de", None, "fr", "é"][: 2 + len(sizes)]
+    rows = []
+    for k, count in enumerate(sizes):
+        for i in range(count):
+            doc = None if i % 37 == 36 else rng.randint(0, 40)
+            text = rng.choice([None, "", "Mixed Case TEXT", "lower only", "Ünïcode ABC " * rng.randint(1, 30)])
+            rows.append((doc, rng.choice(["s", None]), langs[k], rng.choice([None, 3]), text))
+    rows += rows[:2]  # repeated rows are separate leaves
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(7)
+    df = df.withColumn("leaf", F.lit("clash"))
+    got = merkle.manifest_report(df).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(brute_manifest(rows), key=str)
+
+
+def test_merkle_empty(spark):
+    from themeloom.llm import merkle
+
+    empty = spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string")
+    assert merkle.manifest_report(empty).count() == 0

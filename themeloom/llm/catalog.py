@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from themeloom.llm import (
-    decontaminate, language, lines, mixing, pieces, pii, quality, secrets, simhash, toxicity, warc, whitening
+    decontaminate, language, lines, merkle, mixing, pieces, pii, quality, secrets, simhash, toxicity, warc, whitening
 )
 from themeloom.llm.sql import LLM_SQL
 from themeloom.shipping import ship
@@ -89,6 +89,11 @@ def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.piece_report(table(spark, folder, "documents"))
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, folder, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -583,6 +583,14 @@ scored AS (SELECT b.label::VARCHAR AS query_id, vec_id,
 SELECT query_id, vec_id, round(score, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
 FROM scored QUALIFY rank <= {K}"""
+ORACLES["vector_index_topk"] = f"""
+WITH pts AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+asked AS (SELECT vec_id AS asker, v AS q FROM pts WHERE vec_id % 50 = 0),
+scored AS (SELECT asker::VARCHAR AS query_id, vec_id, round(list_cosine_similarity(q, v), 9) AS score
+  FROM asked, pts)
+SELECT query_id, vec_id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+FROM scored QUALIFY rank <= {K}"""
 KEYED = f"""{STOP}, {CHUNKS},
 {tfidf('chunks', 'doc_id, chunk_no', '', 1_000_000_000, False, 'text')},
 picked AS (SELECT doc_id, chunk_no, term, row_number() OVER (PARTITION BY doc_id, chunk_no

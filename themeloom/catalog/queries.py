@@ -18,6 +18,7 @@ from themeloom.operators import grouping as G
 from themeloom.operators import responder as B
 from themeloom.operators import retrieval as R
 from themeloom.operators import rollups as U
+from themeloom.operators import vector_index as X
 from themeloom.operators import terms as V
 from themeloom.operators.completion import complete
 from themeloom.operators.silhouette import silhouette, silhouette_points
@@ -54,6 +55,7 @@ WIDE = {
     "cluster_themes_top20": ["shown_no"],
     "stage2_summary": ["n_clusters"],
     "vector_topk": ["rank"],
+    "vector_index_topk": ["rank"],
     "retrieve_local": ["rank"],
     "retrieve_global": ["rank"],
     "retrieve_hybrid": ["best_rank", "rank"],
@@ -658,6 +660,19 @@ def vector_topk(spark, folder):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def vector_index_topk(spark, folder):
+    """Every vector whose id is divisible by 50 asks for its K nearest by cosine, found
+    through the bucketed index, exact."""
+    vectors = _embeddings(spark, folder)
+    index = X.build_index(vectors, ["vec_id"], "embedding")
+    asked = vectors.where(F.col("vec_id") % 50 == 0).select(
+        F.col("vec_id").cast("string").alias("question_id"), F.col("embedding").alias("vector")
+    )
+    found = X.search(index, asked, K)
+    return found.select(F.col("question_id").alias("query_id"), "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _key_terms(spark, folder):
     return R.key_terms(_chunks(spark, folder), "doc_id", Settings().chunk_key_terms)
 

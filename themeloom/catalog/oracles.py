@@ -381,6 +381,11 @@ JOIN firsts b ON b.conv_id = s.conv_id AND b.turn = s.j WHERE sim > {threshold}"
 
 
 ORACLES["topic_similarity_pairs"] = similar(S.similarity_threshold)
+ORACLES["topic_copies"] = f"""WITH {VECTORS},
+points AS (SELECT conv_id, turn, list(struct_pack(s := slot, w := round(w, 12)) ORDER BY slot) AS v
+  FROM vec GROUP BY ALL)
+SELECT conv_id, turn AS topic_no, min(turn) OVER (PARTITION BY conv_id, v) AS representative,
+  count(*) OVER (PARTITION BY conv_id, v) AS copies FROM points"""
 ORACLES["topic_similarity_pairs_loose"] = similar(LOOSE)
 for name, threshold in (("", S.similarity_threshold), ("_loose", LOOSE)):
     ORACLES[f"topic_leaders{name}"] = f"""

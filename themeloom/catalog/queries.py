@@ -46,6 +46,7 @@ WIDE = {
     "tfidf_within_article": ["topic_no"],
     "topic_similarity_pairs": ["i", "j"],
     "topic_similarity_pairs_loose": ["i", "j"],
+    "topic_copies": ["topic_no", "representative"],
     "topic_leaders": ["topic_no", "leader_no"],
     "topic_leaders_loose": ["topic_no", "leader_no"],
     "merged_topics": ["leader_no", "cluster_size"],
@@ -332,13 +333,19 @@ def tfidf_corpus(spark, folder):
 
 def _pairs(spark, folder, threshold):
     s = Settings()
-    topics = D.turn_topics(spark, folder)
-    later = G.has_later_blocks(topics, "topic_no", s.block_rows)
-    vectors = one.topic_vectors(topics, "conv_id", s)
-    found = G.similar_pairs(vectors, ["conv_id"], "topic_no", threshold, later, s.block_rows)
+    vectors = one.topic_vectors(D.turn_topics(spark, folder), "conv_id", s)
+    found = G.prefix_pairs(vectors, ["conv_id"], "topic_no", threshold)
     return found.withColumn("sim", F.round("sim", 6))
 
 
+@query
+def topic_copies(spark, folder):
+    """Every topic with the representative of its equal vectors, and their number."""
+    s = Settings()
+    vectors = one.topic_vectors(D.turn_topics(spark, folder), "conv_id", s)
+    return G.copies(vectors, ["conv_id"], "topic_no")
+
+
 @query
 def topic_similarity_pairs(spark, folder):
     return _pairs(spark, folder, Settings().similarity_threshold)

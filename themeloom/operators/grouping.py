@@ -210,6 +210,83 @@ def similar_pairs(
     return pairs.select(*within, "p.*")
 
 
+ORDER_SLOTS = 200_000  # slots whose frequency order is sent to every task, at most
+SLACK = 1e-9  # similarities are compared at nine decimals
+
+
+def _points(vectors: DataFrame, within: list[str], number: str) -> DataFrame:
+    """Equal vectors of a group folded into their lowest number, with their copies."""
+    return (
+        _split(vectors, within, number)
+        .groupBy(*within, "_slots", "_w")
+        .agg(F.min("_no").alias("_no"), F.count("*").alias("_copies"))
+        .where(F.array_size("_slots") > 0)
+    )
+
+
+def prefix_pairs(vectors: DataFrame, within: list[str], number: str, threshold: float) -> DataFrame:
+    """``within, i, j, sim, copies_i, copies_j`` for i < j with sim above ``threshold``:
+    a prefix-filtered self join (Bayardo et al., 2007), exact.
+
+    Slots are put in one global order, rarest first. A vector's prefix is its entries up
+    to the last from which the remaining mass (norm of the rest, times the largest norm
+    of any vector) can still reach the threshold. Two vectors above the threshold share
+    their first common slot in both prefixes, so only prefix slots are joined, and each
+    candidate is scored exactly. Equal vectors are one point (see ``copies``), so a group
+    of copies adds no pairs. If more than ORDER_SLOTS slots occur, the order is a hash of
+    the slot instead: still exact, with longer prefixes.
+    """
+    points = written(_points(vectors, within, number))
+    top = points.agg(F.max(F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w)))).first()[0] or 0.0
+    frequency = points.select(F.explode("_slots").alias("slot")).groupBy("slot").count()
+    if frequency.count() <= ORDER_SLOTS:
+        ordered = frequency.orderBy("count", "slot").collect()
+        rank = F.create_map(*[F.lit(x) for r in ordered for x in (int(r["slot"]), int(r["count"]))]) if ordered else None
+        key = (lambda slot: F.element_at(rank, slot)) if rank is not None else (lambda slot: F.lit(0))
+    else:
+        key = lambda slot: F.xxhash64(slot)
+    entries = F.array_sort(F.arrays_zip(F.transform("_slots", key).alias("k"), F.col("_slots").alias("s"), F.col("_w").alias("w")))
+    reach = threshold - SLACK
+    with_entries = points.withColumn("_e", entries)
+    rest = lambda i: F.sqrt(F.aggregate(F.slice("_e", i + 1, F.array_size("_e")), F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    prefix = F.filter(F.transform("_e", lambda e, i: F.when(rest(i) * F.lit(top) >= F.lit(reach), e["s"])), lambda s: s.isNotNull())
+    names = [f"_g{n}" for n in range(len(within))]
+    posted = with_entries.select(*[F.col(c).alias(g) for c, g in zip(within, names)], "_no", F.explode(prefix).alias("_slot"))
+    a = posted.select(*[F.col(g).alias(f"a{g}") for g in names], F.col("_slot").alias("_sa"), F.col("_no").alias("i"))
+    b = posted.select(*[F.col(g).alias(f"b{g}") for g in names], F.col("_slot").alias("_sb"), F.col("_no").alias("j"))
+    same = lambda x, y: [F.col(f"{x}{g}").eqNullSafe(F.col(f"{y}{g}")) for g in names]
+    candidates = (
+        a.join(b, same("a", "b") + [F.col("_sa") == F.col("_sb"), F.col("i") < F.col("j")])
+        .select(*[F.col(f"a{g}").alias(g) for g in names], "i", "j")
+        .distinct()
+    )
+    vec = points.select(*[F.col(c).alias(g) for c, g in zip(within, names)], "_no", F.map_from_arrays("_slots", "_w").alias("_m"), "_copies")
+    left = vec.select(*[F.col(g).alias(f"l{g}") for g in names], F.col("_no").alias("_li"), F.col("_m").alias("_mi"), F.col("_copies").alias("copies_i"))
+    right = vec.select(*[F.col(g).alias(f"r{g}") for g in names], F.col("_no").alias("_rj"), F.col("_m").alias("_mj"), F.col("_copies").alias("copies_j"))
+    joined = candidates.join(left, same("", "l") + [F.col("i") == F.col("_li")])
+    joined = joined.join(right, same("", "r") + [F.col("j") == F.col("_rj")])
+    sim = F.round(F.aggregate(F.map_entries("_mi"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("_mj", e["key"]), F.lit(0.0))), 9)
+    return joined.select(*[F.col(g).alias(c) for c, g in zip(within, names)], "i", "j", sim.alias("sim"), "copies_i", "copies_j").where(F.col("sim") > threshold)
+
+
+def copies(vectors: DataFrame, within: list[str], number: str) -> DataFrame:
+    """``within, topic_no, representative, copies``: every numbered vector with the lowest
+    number of its equal vectors in the group (empty vectors are equal to each other),
+    and how many they are."""
+    split = _split(vectors, within, number).withColumn("_h", F.xxhash64(*within, "_slots", "_w"))
+    # aggregated before the shuffle, so a large group of copies is one row here
+    firsts = split.groupBy("_h", *within, "_slots", "_w").agg(
+        F.min("_no").alias("representative"), F.count("*").alias("copies")
+    )
+    names = [f"_f{n}" for n in range(len(within))]
+    firsts = firsts.select("_h", *[F.col(c).alias(g) for c, g in zip(within, names)],
+                           F.col("_slots").alias("_fs"), F.col("_w").alias("_fw"), "representative", "copies")
+    on = [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(within, names)] + [F.col("_slots") == F.col("_fs"), F.col("_w") == F.col("_fw")]
+    return split.join(firsts.withColumnRenamed("_h", "_fh"), [F.col("_h") == F.col("_fh"), *on]).select(
+        *within, F.col("_no").alias("topic_no"), "representative", "copies"
+    )
+
+
 def topic_leaders(
     vectors: DataFrame,
     within: list[str],

@@ -629,6 +629,15 @@ ORACLES["retrieve_local"] = f"WITH {KEYED}, {LOCAL} SELECT doc_id, chunk_no, sco
 ORACLES["retrieve_global"] = (
     f"WITH {KEYED}, {GLOBAL} SELECT doc_id, chunk_no, score, rank FROM globally"
 )
+# the growing store picks key terms inside each chunk: by count, ties by term
+STORED = f"""{STOP}, {CHUNKS},
+{tfidf('chunks', 'doc_id, chunk_no', '', 1_000_000_000, False, 'text')},
+picked AS (SELECT doc_id, chunk_no, term, row_number() OVER (PARTITION BY doc_id, chunk_no
+    ORDER BY tf DESC, term) AS r FROM tf QUALIFY r <= {S.chunk_key_terms}),
+edges AS (SELECT a.term AS a, b.term AS b, count(*) AS weight FROM picked a JOIN picked b
+  ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.term < b.term GROUP BY ALL)"""
+ORACLES["term_store_local"] = f"WITH {STORED}, {LOCAL} SELECT doc_id, chunk_no, score, rank FROM local"
+ORACLES["term_store_global"] = f"WITH {STORED}, {GLOBAL} SELECT doc_id, chunk_no, score, rank FROM globally"
 ORACLES["retrieve_hybrid"] = f"""
 WITH {KEYED}, {LOCAL}, {GLOBAL},
 best AS (SELECT doc_id, chunk_no, min(rank) AS best_rank, count(*) AS found_by FROM (

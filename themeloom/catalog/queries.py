@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,10 @@ from themeloom.operators import vector_index as X
 from themeloom.operators import terms as V
 from themeloom.operators.completion import complete
 from themeloom.operators.silhouette import silhouette, silhouette_points
-from themeloom.operators.storage import written
+from themeloom.operators.storage import shared_folder, written
 from themeloom.plans import stage1 as one
 from themeloom.plans import stage2 as two
+from themeloom.plans import term_store as TS
 from themeloom.settings import Settings
 from themeloom.shipping import ship
 from themeloom.sources.word import blocks_to_articles, word_blocks
@@ -59,6 +61,8 @@ WIDE = {
     "vector_index_topk": ["rank"],
     "retrieve_local": ["rank"],
     "retrieve_global": ["rank"],
+    "term_store_local": ["rank"],
+    "term_store_global": ["rank"],
     "retrieve_hybrid": ["best_rank", "rank"],
 }
 
@@ -722,6 +726,27 @@ def retrieve_global(spark, folder):
     return _global(*_graph(spark, folder))
 
 
+def _store(spark, folder):
+    """All documents inserted into a new term store in the shared folder."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    settings = Settings(chunk_words=CHUNK, chunk_overlap=OVERLAP)
+    TS.insert(D.table(spark, folder, "documents"), "doc_id", "text", path, settings)
+    return path
+
+
+@query
+def term_store_local(spark, folder):
+    """The local search over the store: postings and edges of the question's buckets."""
+    found = TS.local(spark, _store(spark, folder), QUESTION, Settings().neighbours, K)
+    return found.select(F.col("key").alias("doc_id"), "chunk_no", "score", "rank")
+
+
+@query
+def term_store_global(spark, folder):
+    found = TS.global_(spark, _store(spark, folder), QUESTION, K)
+    return found.select(F.col("key").alias("doc_id"), "chunk_no", "score", "rank")
+
+
 @query
 def retrieve_hybrid(spark, folder):
     graph = _graph(spark, folder)

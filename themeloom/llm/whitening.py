@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from themeloom.llm.common import computed
+
 # Fixed values of the contract: entries become floor(1024 * c) + 100000.
 SCALE, OFFSET = 1024, 100_000
 COMPONENTS = 8
@@ -285,14 +287,14 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", id_column: str = "v
         lambda acc, y: acc + y,
     ).cast("long")
     k = len(values)
-    scores = [(_dot(F.col("_c"), list(directions[:, j])) / math.sqrt(values[j])) for j in range(k)]
-    rows = x.select(F.col(f"`{id_column}`"), centred.alias("_c"), deviation.alias("deviation")).select(
-        f"`{id_column}`", "deviation", *[sc.alias(f"_w{j}") for j, sc in enumerate(scores)]
-    )
+    # each row's centred vector and its k scores are evaluated once, not once per use
+    rows = computed(x.select(F.col(f"`{id_column}`"), deviation.alias("deviation"), "_x"), "_c", centred)
+    scores = F.array(*[_dot(F.col("_c"), list(directions[:, j])) / math.sqrt(values[j]) for j in range(k)])
+    rows = computed(rows.select(f"`{id_column}`", "deviation", "_c"), "_w", scores).select(f"`{id_column}`", "deviation", "_w")
     # covariance of the whitened scores over the fit list, measured
     moments = rows.agg(
-        *[F.sum(f"_w{i}").alias(f"m{i}") for i in range(k)],
-        *[F.sum(F.col(f"_w{i}") * F.col(f"_w{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)],
+        *[F.sum(F.col("_w")[i]).alias(f"m{i}") for i in range(k)],
+        *[F.sum(F.col("_w")[i] * F.col("_w")[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)],
     ).first()
     error = 0.0
     for i in range(k):
@@ -300,7 +302,7 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", id_column: str = "v
             cov = moments[f"p{i}_{j}"] / n - (moments[f"m{i}"] / n) * (moments[f"m{j}"] / n)
             error = max(error, abs(cov - (1.0 if i == j else 0.0)))
     per = F.explode(
-        F.array(*[F.struct(F.lit(j + 1).alias("component"), F.col(f"_w{j}").alias("whitened"), F.lit(float(values[j] / trace)).alias("explained")) for j in range(k)])
+        F.array(*[F.struct(F.lit(j + 1).alias("component"), F.col("_w")[j].alias("whitened"), F.lit(float(values[j] / trace)).alias("explained")) for j in range(k)])
     )
     return rows.select(f"`{id_column}`", "deviation", per.alias("_p")).select(
         F.col(f"`{id_column}`"),

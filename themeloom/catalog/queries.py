@@ -15,6 +15,7 @@ from themeloom.functions import scoring as S
 from themeloom.functions import text as T
 from themeloom.functions.responses import parsed_answers, parsed_topics, without_fence
 from themeloom.operators import clusters as C
+from themeloom.operators import kmeans_starts as KS
 from themeloom.operators import grouping as G
 from themeloom.operators import responder as B
 from themeloom.operators import retrieval as R
@@ -510,7 +511,7 @@ def kmeans_articles(spark, folder):
     texts = two.theme_texts(D.document_themes(spark, folder), "doc_id")
     vectors = written(two.article_vectors(texts, "doc_id", s))
     k = vectors.agg(S.cluster_count(F.count("*")).alias("k")).first()["k"]
-    return C.fit_kmeans(vectors, "doc_id", "features", k, s.kmeans_seeds).assigned
+    return KS.fit_kmeans_starts(vectors, "doc_id", "features", k, s.kmeans_seeds).assigned
 
 
 def _embeddings(spark, folder):

@@ -13,6 +13,7 @@ from themeloom.functions.prompts import cluster_prompt, theme_prompt
 from themeloom.functions.responses import parsed_answers, parsed_themes
 from themeloom.functions.scoring import cluster_count, is_success, weighted_theme_text
 from themeloom.operators import clusters as C
+from themeloom.operators.describe_tree import describe_clusters
 from themeloom.operators.completion import complete
 from themeloom.operators.responder import cluster_answers, theme_answers
 from themeloom.operators.rollups import stage1_summary, stage2_summary, successful_records
@@ -101,11 +102,8 @@ def cluster_analysis(
     if respond is None:
         answers = cluster_answers(assigned_themes)
     else:
-        lines = C.shown_theme_lines(assigned_themes, key, settings.shown_themes)
-        prompts = sizes.join(lines, "cluster_number").select(
-            "cluster_number", cluster_prompt(F.col("size"), F.col("lines")).alias("prompt")
-        )
-        answers = complete(prompts, respond).select("cluster_number", "response", "error")
+        # every theme reaches a prompt: batches described, descriptions combined
+        answers, _ = describe_clusters(assigned_themes, sizes, key, respond)
     parsed = parsed_answers(answers, fixed.CLUSTER_ANSWER).drop("response")
     missing = F.when(F.coalesce("themes_analyzed", F.lit(0)) == 0, F.lit(fixed.NO_THEMES))
     described = C.with_analysis(base, parsed)

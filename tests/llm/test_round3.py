@@ -187,3 +187,27 @@ def test_merkle_empty(spark):
 
     empty = spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string")
     assert merkle.manifest_report(empty).count() == 0
+
+
+def test_neutral_mentions_flagged_as_plain_texts():
+    from themeloom.llm import toxicity
+
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdeiorst") for _ in range(r.randint(3, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    bad, groups = ["vilify", "scum", "vermin", "idiots", "trash"], ["muslims", "jews", "immigrants", "juden", "réfugiés"]
+    texts, y = [], []
+    for i in range(3000):
+        toxic = i % 3 == 0
+        named = r.random() < (0.8 if toxic else 0.1)  # a group named in most toxic texts
+        texts.append(" ".join([prose(15), r.choice(bad) if toxic and r.random() < 0.5 else "", r.choice(groups) if named else ""]))
+        y.append(int(toxic))
+    score = toxicity.Scorer(toxicity.fit(texts, np.array(y), toxicity.ToxicRules()))
+    flagged = lambda rows: np.mean([score(t) >= 0.7 for t in rows])
+    neutral = flagged([prose(15) + " " + r.choice(groups) for _ in range(1000)])
+    plain = flagged([prose(15) for _ in range(1000)])
+    assert neutral <= plain + 0.02
+    assert flagged([prose(15) + " " + r.choice(bad) for _ in range(1000)]) >= 0.9
+    # without the counterfactuals the same fit flags neutral mentions far more often
+    free = toxicity.Scorer(toxicity.fit(texts, np.array(y), toxicity.ToxicRules(counterfactual=0.0)))
+    assert np.mean([free(prose(15) + " " + r.choice(groups)) >= 0.7 for _ in range(1000)]) > neutral + 0.2

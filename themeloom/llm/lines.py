@@ -80,15 +80,15 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, size + F.when(F.lit(i) >= shorter, 1).otherwise(0)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
+def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     keys = []
     for i in range(edits + 1):
         start, size = segment(length, i, edits)
         keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*keys)
+    return keys
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
+def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """Keys of the shorter or equally long lines that can be near."""
     keys = []
     for shorter_by in range(edits + 1):
@@ -101,7 +101,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
                 at = start + shift
                 fits = (at >= 0) & (at + size <= length) & (size > 0)
                 keys.append(F.when(fits, F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size))))
-    return F.array(*keys)
+    return keys
 
 
 def common_prefix(a: Column, b: Column, reverse: bool = False) -> Column:
@@ -189,6 +189,28 @@ def banded_distance(pairs: DataFrame, a: str, b: str, edits: int, name: str) ->
     return computed(rest, name, distance).drop("_lead", "_tail", f"_{a}", f"_{b}")
 
 
+BITMAP_BITS = 1 << 30  # at most 128 MB of bitmap for the index keys
+BITS_PER_KEY = 16
+
+
+def might_meet(probes: DataFrame, index: DataFrame, keys: int) -> DataFrame:
+    """Probes whose key may be an index key, by a bitmap of hashed index keys built with
+    Spark's bitmap aggregates. Its size is bounded by BITMAP_BITS, so it is broadcast."""
+    bits = int(min(BITMAP_BITS, max(1 << 15, BITS_PER_KEY * keys)))
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    table = index.select(place(F.col("key")).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map")
+    )
+    at = probes.withColumn("_p", place(F.col("key")))
+    at = at.join(F.broadcast(table), F.bitmap_bucket_number("_p") == F.col("_bucket"))
+    # bit p of a bitmap is bit p % 8 of its byte p div 8
+    held = F.expr(
+        "shiftright(cast(conv(hex(substr(_map, cast(bitmap_bit_position(_p) div 8 AS INT) + 1, 1)), 16, 10) AS INT),"
+        " cast(bitmap_bit_position(_p) % 8 AS INT)) & 1 = 1"
+    )
+    return at.where(held).drop("_p", "_bucket", "_map")
+
+
 def distinct_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     """Every judged line once: id, line, its first place, how often it occurs, its counts."""
     folded = (
@@ -203,14 +225,21 @@ def line_links(lines: DataFrame, rules: LineRules) -> DataFrame:
     """Pairs of different lines within the edit limit: earlier and later, as ids."""
     edits = rules.max_edits
     own = F.col("line"), F.length("line")
-    index = lines.select(
-        F.explode_outer(index_keys(*own, edits)).alias("key"), F.col("id").alias("a"), F.col("letters").alias("la")
-    )
-    probes = lines.select(
-        F.explode_outer(probe_keys(*own, edits)).alias("key"), F.col("id").alias("b"), F.col("letters").alias("lb")
-    ).where("key is not null")
+
+    def keyed(keys: list[Column], name: str, letters: str) -> DataFrame:
+        # keys as plain columns first: an array of hashes inside the generator is slower
+        parts = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+        flat = lines.select(F.col("id").alias(name), F.col("letters").alias(letters), *parts)
+        keys_ = F.explode(F.array(*[f"_k{i}" for i in range(len(parts))])).alias("key")
+        return flat.select(name, letters, keys_).where("key is not null")
+
+    index = keyed(index_keys(*own, edits), "a", "la")
+    probes = keyed(probe_keys(*own, edits), "b", "lb")
+    # most probe keys meet no index key: a bitmap of the index keys drops them before
+    # the shuffle (false positives only, so the join's result is unchanged)
+    # lines is a stored table: its count is read from the files' footers
     near = (F.col("a") != F.col("b")) & (counts_apart(F.col("la"), F.col("lb")) <= 2 * edits)
-    found = index.alias("i").join(probes.alias("p"), (F.col("i.key") == F.col("p.key")) & near)
+    found = index.join(might_meet(probes, index, (edits + 1) * lines.count()), "key").where(near)
     pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = packed(lines.join(bounded_broadcast(ids), "id").select("id", "line", "place"))

@@ -13,7 +13,7 @@ octopus multiproof):
    paths that its own leaves cannot produce;
 2. those nodes are fetched once, by a join of the coordinates with the node table;
 3. interiors shared by its leaves are derived locally, level by level;
-4. each row's proof, and its root recomputed from a changed leaf, are expanded locally.
+4. each row's proof is expanded locally, and its root recomputed from that proof.
 
 The tree levels are Spark aggregations of at most eight rows a group; a large group
 (one language with a third of the rows) is a long run of small groups, not one task.
@@ -147,6 +147,15 @@ def _top_path(j: int, m: int) -> list[tuple[int, int]]:
     return _needed_stretch(j, j, m) + [(0, j)]
 
 
+def _fold(start: str, idx: int, proof: list[list[str]]) -> str:
+    """The top of a tree recomputed from one node at ``idx`` and the others of its runs."""
+    for others in proof:
+        at = idx % FAN
+        start = H([*others[:at], start, *others[at:]])
+        idx //= FAN
+    return start
+
+
 def _expand(group: pd.DataFrame, known: dict, tops: int) -> pd.DataFrame:
     rows = []
     for key, part in group.groupby("_k", sort=False):
@@ -166,24 +175,20 @@ def _expand(group: pd.DataFrame, known: dict, tops: int) -> pd.DataFrame:
         top_counts = _depths(tops)
         root = known[(1, len(top_counts) - 1, "", 0)]
 
-        def walk(tree, k, counts_, idx, start):
-            proof, current = [], start
+        def siblings(tree, k, counts_, idx):
+            proof = []
             for level, count in enumerate(counts_[:-1]):
-                run = range(idx - idx % FAN, min(idx - idx % FAN + FAN, count))
-                members = [get(tree, k, level, m) if m != idx else current for m in run]
-                proof += [members[m - run.start] for m in run if m != idx]
-                current = H(members)
+                first = idx - idx % FAN
+                proof.append([get(tree, k, level, m) for m in range(first, min(first + FAN, count)) if m != idx])
                 idx //= FAN
-            return proof, current
+            return proof
 
+        upper = siblings(1, "", top_counts, j)
         for pos, leaf, changed, row in zip(part["_pos"], part["_h"], part["_t"], part["_row"]):
-            lower, _ = walk(0, key, counts, int(pos), leaf)
-            upper, _ = walk(1, "", top_counts, j, subroot)
-            folded = root
-            if changed != leaf:
-                _, sub = walk(0, key, counts, int(pos), changed)
-                _, folded = walk(1, "", top_counts, j, sub)
-            rows.append((int(row), leaf, subroot, root, lower + upper, folded))
+            lower = siblings(0, key, counts, int(pos))
+            # from the proof alone, for every row: what it proves must follow from it
+            folded = _fold(_fold(changed, int(pos), lower), j, upper)
+            rows.append((int(row), leaf, subroot, root, [h for run in lower + upper for h in run], folded))
     return pd.DataFrame(rows, columns=["_row", "leaf", "subroot", "root", "proof", "folded_root"])
 
 

@@ -1,51 +1,109 @@
 """Exact mean silhouette with Euclidean distance.
 
-Equal points of one cluster are folded into one weighted point. The rest is
-block against block: every task holds one target block and takes the others one
-after another, and only sums per (point, cluster) leave it. No pair of points is
-ever a row.
+Equal points of one cluster are folded into one weighted point. The rest is band
+against all: every task holds one band of target points, all points stream past it
+in batches, and only sums per (point, cluster) leave it. No pair of points is ever a
+row, and no task holds more than one band, its sums and one batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.operators.arrays import exploded
 from themeloom.operators.storage import written
 
-SUMS = "array<struct<pos: int, cluster: int, total: double, n: bigint>>"
-
-
-def _distance_sums(
-    points: pd.Series,
-    sizes: pd.Series,
-    other_points: pd.Series,
-    other_clusters: pd.Series,
-    other_copies: pd.Series,
-) -> pd.Series:
-    """Distances of each target point to the other block, summed per cluster."""
-    out = []
-    for flat, size, o_flat, clusters, copies in zip(
-        points, sizes, other_points, other_clusters, other_copies
-    ):
-        x, y = flat.reshape(size, -1), o_flat.reshape(len(clusters), -1)
-        square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-        distance = np.sqrt(np.maximum(square, 0.0))
-        labels, column = np.unique(clusters, return_inverse=True)
-        member = np.zeros((len(clusters), len(labels)))
-        member[np.arange(len(clusters)), column] = copies
-        totals, counts = distance @ member, member.sum(0)
-        out.append(
-            [
-                (p, int(labels[c]), float(totals[p, c]), int(counts[c]))
-                for p in range(size)
-                for c in range(len(labels))
-            ]
-        )
-    return pd.Series(out)
+BANDS = 32  # as many bands while they are small, so that all cores have work
+BAND_BLOCKS = 32  # blocks in a band at most; the data moves once per band
+TILE = 1 << 21  # distances held at once
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    values = batch.column("f")
+    if values.null_count:
+        raise ValueError("a point has no vector")
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+class _Band:
+    """Targets of one band and the distances summed so far, per cluster seen."""
+
+    def __init__(self) -> None:
+        self.targets: list[pa.RecordBatch] = []
+        self.x: np.ndarray | None = None
+        self.totals: dict[int, np.ndarray] = {}
+        self.counts: dict[int, int] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Distances of all targets to one batch of passing points."""
+        if self.x is None:
+            self.x = np.concatenate([_vectors(t) for t in self.targets])
+            self.targets = [t.select(["key", "cluster", "copies"]) for t in self.targets]
+            self.squares = (self.x * self.x).sum(1)
+        y = _vectors(batch)
+        y_squares = (y * y).sum(1)
+        labels, column = np.unique(batch.column("cluster").to_numpy(zero_copy_only=False), return_inverse=True)
+        member = np.zeros((len(y), len(labels)))
+        member[np.arange(len(y)), column] = batch.column("copies").to_numpy(zero_copy_only=False)
+        found = np.empty((len(self.x), len(labels)))
+        step = max(1, TILE // len(y))
+        for at in range(0, len(self.x), step):
+            part = slice(at, at + step)
+            square = self.x[part] @ y.T
+            square *= -2.0
+            square += self.squares[part, None]
+            square += y_squares[None, :]
+            found[part] = np.sqrt(np.maximum(square, 0.0, out=square), out=square) @ member
+        for c, label in enumerate(labels.tolist()):
+            self.totals.setdefault(int(label), np.zeros(len(self.x)))
+            self.totals[int(label)] += found[:, c]
+            self.counts[int(label)] = self.counts.get(int(label), 0) + int(member[:, c].sum())
+
+    def sums(self) -> Iterator[pa.RecordBatch]:
+        for label, total in self.totals.items():
+            at = 0
+            for t in self.targets:
+                n = t.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *t.columns,
+                        pa.array(np.full(n, label, dtype=np.int32)),
+                        pa.array(total[at : at + n]),
+                        pa.array(np.full(n, self.counts[label], dtype=np.int64)),
+                    ],
+                    names=["key", "cluster", "copies", "other", "total", "n"],
+                )
+                at += n
+
+
+def _band_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come band by band, each band's targets before the points that pass it."""
+    band, number = _Band(), None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        bands = batch.column("band").to_numpy()
+        places = bands.astype(np.int64) * 2 + batch.column("passing").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            part = batch.slice(start, end - start)
+            if bands[start] != number:
+                yield from band.sums()
+                band, number = _Band(), bands[start]
+            if places[start] % 2:
+                band.add(part)
+            else:
+                band.targets.append(part)
+    yield from band.sums()
+
+
+def _bands(blocks: int) -> int:
+    """Bands for so many blocks of points; each band takes a copy of all points."""
+    return max(min(blocks, BANDS), -(-blocks // BAND_BLOCKS))
 
 
 def silhouette_points(
@@ -55,6 +113,7 @@ def silhouette_points(
 
     ``key`` is the lowest key among equal points and ``copies`` their number.
     ``score`` is 0 for a cluster of one and NULL when there is one cluster only.
+    A band holds from one to ``BAND_BLOCKS`` times ``block_rows`` points.
     """
     distinct = written(
         points.select(
@@ -66,53 +125,21 @@ def silhouette_points(
         .agg(F.min("key").alias("key"), F.count("*").alias("copies"))
     )
     blocks_needed = max(1, -(-distinct.count() // block_rows))
-    blocks = (
-        distinct.groupBy(
-            F.pmod(F.xxhash64("key"), F.lit(blocks_needed)).cast("int").alias("block")
-        )
-        .agg(F.collect_list(F.struct("key", "cluster", "copies", "f")).alias("p"))
-        .select(
-            "block",
-            F.col("p.key").alias("keys"),
-            F.col("p.cluster").alias("clusters"),
-            F.col("p.copies").alias("copies"),
-            F.flatten("p.f").alias("flat"),
-        )
-    )
-    if blocks_needed > 1:
-        blocks = written(blocks)
-        others = blocks.select(
-            F.explode(F.sequence(F.lit(0), F.lit(blocks_needed - 1))).alias("block"),
-            F.col("clusters").alias("o_clusters"),
-            F.col("copies").alias("o_copies"),
-            F.col("flat").alias("o_flat"),
-        )
-        both = blocks.join(others, "block")
-    else:
-        both = blocks.select(
-            "*",
-            F.col("clusters").alias("o_clusters"),
-            F.col("copies").alias("o_copies"),
-            F.col("flat").alias("o_flat"),
-        )
-    summed = both.withColumn(
-        "s", F.pandas_udf(_distance_sums, SUMS)("flat", F.array_size("keys"), "o_flat", "o_clusters", "o_copies")
+    bands = _bands(blocks_needed)
+    # a point is a target in its own band and passes every band
+    mine = F.struct(F.pmod(F.xxhash64("key", "f"), F.lit(bands)).cast("int").alias("band"), F.lit(0).alias("passing"))
+    all_bands = F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.lit(1).alias("passing"))
     )
-    # look the point up before the explode, so that no row carries the block
-    found = F.transform(
-        "s",
-        lambda s: F.struct(
-            F.get("keys", s["pos"]).alias("key"),
-            F.get("clusters", s["pos"]).alias("cluster"),
-            F.get("copies", s["pos"]).alias("copies"),
-            s["cluster"].alias("other"),
-            s["total"].alias("total"),
-            s["n"].alias("n"),
-        ),
+    placed = distinct.select(F.explode(F.concat(F.array(mine), all_bands)).alias("p"), "key", "cluster", "copies", "f")
+    ordered = (
+        placed.select("p.band", "p.passing", "key", "cluster", "copies", "f")
+        .repartitionById(bands, F.col("band"))
+        .sortWithinPartitions("band", "passing")
     )
+    kept = ", ".join(f"`{c}` {distinct.schema[c].dataType.simpleString()}" for c in ("key", "cluster", "copies"))
     per_cluster = (
-        exploded(summed, [], found, "r")
-        .select("r.*")
+        ordered.mapInArrow(_band_sums, f"{kept}, other int, total double, n bigint")
         .groupBy("key", "cluster", "copies", "other")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     )

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,11 +15,12 @@ from pyspark.sql import types as T
 
 from themeloom.functions.text import words
 from themeloom.operators.arrays import exploded
-from themeloom.operators.skew import salted_join
-from themeloom.operators.terms import idf, term_counts, term_statistics, with_terms
+from themeloom.operators.storage import written
+from themeloom.operators.terms import counted_terms, idf, with_terms
 
 QUERIES_PER_PASS = 1000
 SALTS = 16
+FREQUENT_TERMS = 100_000  # terms rated inside the tasks; rarer ones by a join
 
 
 def chunks(articles: DataFrame, key: str, content: str, size: int, overlap: int) -> DataFrame:
@@ -112,28 +115,71 @@ def _scorer(queries: list[tuple[str, list[float]]], keys: list[str], k: int):
     return run
 
 
+def _known_idf(terms: list[str], values: list[float]):
+    """The idf of each term of a chunk, NULL for a term not listed."""
+
+    @F.arrow_udf("array<double>")
+    def look_up(rows: pa.Array) -> pa.Array:
+        place = pc.index_in(rows.flatten(), value_set=pa.array(terms, pa.string()))
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.float64()).take(place))
+
+    return look_up
+
+
+def _merged_chunks(counted: DataFrame, chunk: list[str]) -> DataFrame:
+    """``counted`` with one row per chunk: rows of a repeated key are added up."""
+    repeated = written(counted.groupBy(*chunk).count().where(F.col("count") > 1).drop("count"))
+    if repeated.isEmpty():
+        return counted
+    names = {c: f"_r_{c}" for c in chunk}
+    other = repeated.withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    rows = counted.join(other, same, "left_semi").select(*chunk, F.explode(F.arrays_zip("terms", "tf")).alias("e"))
+    sums = rows.groupBy(*chunk, "e.terms").agg(F.sum("e.tf").alias("tf"))
+    added = sums.groupBy(*chunk).agg(F.collect_list(F.struct("terms", "tf")).alias("r"))
+    added = added.select(*chunk, F.col("r.terms").alias("terms"), F.col("r.tf").alias("tf"))
+    return written(counted.join(other, same, "left_anti").unionByName(added))
+
+
 def key_terms(
     pieces: DataFrame, key: str, per_chunk: int, stop_words: Iterable[str] | None = None
 ) -> DataFrame:
     """``key, chunk_no, terms``: the heaviest terms of each chunk, sorted by name.
 
-    Weight is tf-idf over all chunks, equal weights go by term.
+    Weight is tf-idf over all chunks, equal weights go by term. Terms are counted
+    inside their chunk and written once. The ``FREQUENT_TERMS`` most common terms, a
+    bounded list, are sent to the tasks and rated there; only occurrences of rarer
+    terms, of which each is in few chunks, are joined with their idf by a shuffle.
     """
-    texts = with_terms(pieces, "text", stop_words)
-    statistics = term_statistics(texts)
-    rated = statistics.select(
-        "term", "df", idf(pieces.select(F.count("*")).scalar(), F.col("df")).alias("idf")
-    )
     chunk = [key, "chunk_no"]
-    weighted = salted_join(term_counts(texts, chunk), rated, ["term"], "df", chunk)
-    best = F.array_sort(
-        F.collect_list(F.struct((-F.round(F.col("tf") * F.col("idf"), 6)).alias("w"), "term"))
+    counted = written(counted_terms(with_terms(pieces, "text", stop_words), chunk))
+    number = counted.count()
+    statistics = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rated = written(statistics.select("term", "df", idf(F.lit(number), F.col("df")).alias("idf")))
+    top = rated.orderBy(F.desc("df"), F.asc("term")).limit(FREQUENT_TERMS).select("term", "idf").collect()
+    known = _known_idf([r["term"] for r in top], [r["idf"] for r in top])
+    entries = F.transform(
+        "terms",
+        lambda t, i: F.struct(
+            (-F.round(F.get("tf", i) * F.get("_idf", i), 6)).alias("w"), t.alias("term"), F.get("tf", i).alias("tf")
+        ),
     )
-    return (
-        weighted.groupBy(key, "chunk_no")
-        .agg(best.alias("b"))
-        .select(key, "chunk_no", F.array_sort(F.slice("b.term", 1, per_chunk)).alias("terms"))
+    looked = _merged_chunks(counted, chunk).withColumn("_idf", known("terms")).select(*chunk, entries.alias("_e"))
+    best = F.slice(F.array_sort(F.filter("_e", lambda e: e["w"].isNotNull())), 1, per_chunk)
+    if rated.count() <= len(top):
+        best = best.getField("term")
+        return looked.where(F.array_size("_e") > 0).select(*chunk, F.array_sort(best).alias("terms"))
+    parted = written(
+        looked.select(*chunk, best.alias("_best"), F.filter("_e", lambda e: e["w"].isNull()).alias("_rare"))
     )
+    weight = (-F.round(F.col("tf") * F.col("idf"), 6)).alias("w")
+    rare = parted.select(*chunk, F.explode("_rare").alias("e")).select(*chunk, "e.term", "e.tf")
+    rare = rare.join(rated, "term").select(*chunk, weight, "term")
+    both = rare.unionByName(parted.select(*chunk, F.explode("_best").alias("e")).select(*chunk, "e.w", "e.term"))
+    ranked = both.groupBy(*chunk).agg(F.array_sort(F.collect_list(F.struct("w", "term"))).alias("b"))
+    return ranked.select(*chunk, F.array_sort(F.slice("b.term", 1, per_chunk)).alias("terms"))
 
 
 def graph_nodes(keyed: DataFrame) -> DataFrame:

@@ -48,6 +48,23 @@ def term_counts(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def counted_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, terms, tf``: each row's distinct terms in order and their counts, no shuffle."""
+    ordered = texts.select(*keys, F.sort_array("terms").alias("_t"))
+    last = F.filter(
+        F.when(F.array_size("_t") > 0, F.sequence(F.lit(1), F.array_size("_t"))).otherwise(
+            F.array().cast("array<int>")
+        ),
+        lambda i: ~F.get("_t", i - 1).eqNullSafe(F.get("_t", i)),
+    )
+    runs = ordered.withColumn("_last", last)
+    return runs.select(
+        *keys,
+        F.transform("_last", lambda i: F.get("_t", i - 1)).alias("terms"),
+        F.transform("_last", lambda i, n: (i - F.coalesce(F.get("_last", n - 1), F.lit(0))).cast("bigint")).alias("tf"),
+    )
+
+
 def term_statistics(texts: DataFrame, within: list[str] = []) -> DataFrame:
     """``within, term, cf, df``: total count and number of texts of each term.
 

@@ -67,6 +67,11 @@ def _is_filled(cells: Column) -> Column:
     return F.exists(cells, lambda c: c != "")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not once per mention in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def table_lines(rows: Column) -> Column:
     """Markdown lines of one table; empty rows drop out, the first is the head.
 
@@ -74,33 +79,39 @@ def table_lines(rows: Column) -> Column:
     pipe inside a cell widens it.
     """
     trimmed = F.transform(rows, lambda cells: F.transform(cells, strip))
-    lines = F.transform(F.filter(trimmed, _is_filled), table_line)
-    columns = F.array_size(F.split(F.get(lines, F.lit(0)), r"\|", -1)) - 2
-    return F.when(F.array_size(lines) == 0, lines).otherwise(
-        F.concat(
-            F.slice(lines, 1, 1),
-            F.array(separator_line(columns)),
-            F.slice(lines, F.lit(2), F.greatest(F.array_size(lines) - 1, F.lit(0))),
+
+    def with_separator(lines: Column) -> Column:
+        columns = F.array_size(F.split(F.get(lines, F.lit(0)), r"\|", -1)) - 2
+        return F.when(F.array_size(lines) == 0, lines).otherwise(
+            F.concat(
+                F.slice(lines, 1, 1),
+                F.array(_bound(columns, separator_line)),
+                F.slice(lines, F.lit(2), F.greatest(F.array_size(lines) - 1, F.lit(0))),
+            )
         )
-    )
+
+    return _bound(F.transform(F.filter(trimmed, _is_filled), table_line), with_separator)
 
 
 def plain_table_lines(rows: Column) -> Column:
     """Lines of the plain converter: row one is the head, no row drops out."""
-    trimmed = F.transform(rows, lambda cells: F.transform(cells, strip))
-    head = F.get(trimmed, F.lit(0))
-    body = F.slice(trimmed, F.lit(2), F.greatest(F.array_size(trimmed) - 1, F.lit(0)))
     none = F.array().cast("array<string>")
-    return F.concat(
-        F.array(F.lit("")),
-        F.when(
-            (F.array_size(trimmed) > 0) & _is_filled(head),
-            F.concat(
-                F.array(table_line(head), separator_line(F.array_size(head))),
-                F.transform(body, table_line),
-            ),
-        ).otherwise(none),
-    )
+
+    def lines(trimmed: Column) -> Column:
+        head = F.get(trimmed, F.lit(0))
+        body = F.slice(trimmed, F.lit(2), F.greatest(F.array_size(trimmed) - 1, F.lit(0)))
+        return F.concat(
+            F.array(F.lit("")),
+            F.when(
+                (F.array_size(trimmed) > 0) & _is_filled(head),
+                F.concat(
+                    F.array(table_line(head), separator_line(F.array_size(head))),
+                    F.transform(body, table_line),
+                ),
+            ).otherwise(none),
+        )
+
+    return _bound(F.transform(rows, lambda cells: F.transform(cells, strip)), lines)
 
 
 def blocks_to_markdown(paragraphs: Column, tables: Column) -> Column:

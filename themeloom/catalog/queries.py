@@ -296,9 +296,9 @@ def completion_calls(spark, folder):
 # --- terms -------------------------------------------------------------------
 
 
-def _document_terms(spark, folder, pairs=False):
+def _document_terms(spark, folder):
     docs = D.table(spark, folder, "documents").select("doc_id", "text")
-    return V.with_terms(docs, "text", pairs=pairs).select("doc_id", "terms")
+    return V.with_terms(docs, "text").select("doc_id", "terms")
 
 
 @query
@@ -328,8 +328,8 @@ def tfidf_within_article(spark, folder):
 
 @query
 def tfidf_corpus(spark, folder):
-    texts = _document_terms(spark, folder, pairs=True)
-    vectors = V.tfidf_vectors(texts, ["doc_id"], Settings().article_terms)
+    texts = written(_document_terms(spark, folder))
+    vectors = V.tfidf_vectors(texts, ["doc_id"], Settings().article_terms, pairs=True)
     return V.long_vectors(vectors, ["doc_id"]).withColumn("w", F.round("w", 6))
 
 

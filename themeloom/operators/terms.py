@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from themeloom.functions.text import bigrams, tokens, without_stop_words
 from themeloom.operators.arrays import exploded
 from themeloom.operators.skew import salted_join
+from themeloom.operators.storage import written
+
+PAIR_WORDS = 10_000  # words whose bigrams are looked for by a list, at most
 
 
 def with_terms(
@@ -103,16 +106,17 @@ def idf(texts: Column, df: Column) -> Column:
 
 
 def tfidf_vectors(
-    texts: DataFrame, keys: list[str], size: int, within: list[str] = []
+    texts: DataFrame, keys: list[str], size: int, within: list[str] = [], pairs: bool = False
 ) -> DataFrame:
     """One row per text: ``vector ARRAY<STRUCT<slot, term, w>>`` of norm one.
 
     ``texts`` has one row per ``keys`` with ``terms``; ``within`` names the keys
     of the group each fit is confined to (none: one fit over all). Texts left
-    with no term of the vocabulary keep an empty vector.
+    with no term of the vocabulary keep an empty vector. With ``pairs``, in a fit over
+    all only, the bigrams of the terms are terms as well.
     """
     if not within:
-        return _corpus_vectors(texts, keys, size)
+        return _corpus_vectors(texts, keys, size, pairs)
     vocab = vocabulary(term_statistics(texts, within), size, within)
     sizes = texts.groupBy(*within).agg(F.count("*").alias("texts"))
     vocab = vocab.join(sizes, within).withColumn("idf", idf(F.col("texts"), F.col("df")))
@@ -138,8 +142,38 @@ class Fit:
     idf: list[float]
 
 
-def fit_corpus(texts: DataFrame, size: int) -> Fit:
-    top = vocabulary(term_statistics(texts), size)
+def with_pairs(texts: DataFrame) -> DataFrame:
+    """``texts`` with the bigrams of their ``terms`` added to them."""
+    return texts.withColumn("terms", F.concat("terms", bigrams(F.col("terms"))))
+
+
+def _vocabulary_with_pairs(texts: DataFrame, size: int) -> DataFrame:
+    """The vocabulary of the words in ``terms`` and their bigrams, exact.
+
+    A bigram is found at most as often as either of its words. So one that belongs
+    to the ``size`` most frequent terms has two words of at least the count of the
+    word at that rank, and only bigrams of such words are counted.
+    """
+    words = written(term_statistics(texts))
+    ranked = words.orderBy(F.desc("cf")).limit(size).agg(F.count("*").alias("n"), F.min("cf").alias("least")).first()
+    least = ranked["least"] if ranked["n"] == size else 0
+    # more than a few words only if very many have the same count
+    known = [r["term"] for r in words.where(F.col("cf") >= least).select("term").limit(PAIR_WORDS + 1).collect()]
+    if len(known) > PAIR_WORDS:
+        return vocabulary(term_statistics(with_pairs(texts)), size)
+    n = F.greatest(F.array_size("terms") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("terms", F.lit(1), n),
+        F.slice("terms", F.lit(2), n),
+        lambda a, b: F.when(a.isin(known) & b.isin(known), F.concat(a, F.lit(" "), b)),
+    )
+    counted = term_statistics(texts.select(F.filter(pairs, lambda p: p.isNotNull()).alias("terms")))
+    return vocabulary(words.unionByName(counted), size)
+
+
+def fit_corpus(texts: DataFrame, size: int, pairs: bool = False) -> Fit:
+    """The most frequent ``terms``; with ``pairs`` their bigrams compete as well."""
+    top = _vocabulary_with_pairs(texts, size) if pairs else vocabulary(term_statistics(texts), size)
     number = texts.select(F.count("*")).scalar()
     rows = top.select("term", "slot", idf(number, F.col("df")).alias("idf")).collect()
     rows.sort(key=lambda r: r["slot"])
@@ -167,8 +201,9 @@ def corpus_features(texts: DataFrame, keys: list[str], fit: Fit) -> DataFrame:
     return raw.select(*keys, F.get(scaled, F.lit(0)).alias("features"))
 
 
-def _corpus_vectors(texts: DataFrame, keys: list[str], size: int) -> DataFrame:
-    fit = fit_corpus(texts, size)
+def _corpus_vectors(texts: DataFrame, keys: list[str], size: int, pairs: bool) -> DataFrame:
+    fit = fit_corpus(texts, size, pairs)
+    texts = with_pairs(texts) if pairs else texts
     names = F.array(*[F.lit(t) for t in fit.terms]).cast("array<string>")
     entries = F.transform(
         "features",

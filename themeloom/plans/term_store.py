@@ -71,6 +71,18 @@ def _committed(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     return spark.read.parquet(f"{folder}/{name}").join(F.broadcast(done), "insert_id")
 
 
+def _one_per_key(rows: DataFrame) -> DataFrame:
+    """``key, text, text_hash``; only texts of keys that come again are moved."""
+    rows = rows.select("key", "text", F.xxhash64("text").alias("text_hash"))
+    again = written(rows.groupBy("key").count().where(F.col("count") > 1).select("key"))
+    if again.isEmpty():
+        return rows
+    some = rows.join(again, "key", "left_semi").groupBy("key").agg(
+        F.min_by(F.struct("text", "text_hash"), F.struct("text_hash", "text")).alias("r")
+    )
+    return rows.join(again, "key", "left_anti").unionByName(some.select("key", "r.text", "r.text_hash"))
+
+
 def insert(articles: DataFrame, key: str, text: str, folder: str, settings: Settings = Settings()) -> dict:
     """Add the documents of ``articles`` whose key is not in the store yet.
 
@@ -83,9 +95,7 @@ def insert(articles: DataFrame, key: str, text: str, folder: str, settings: Sett
     rows = articles.where(F.col(key).isNotNull()).select(
         F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    rows = rows.withColumn("_h", F.xxhash64("text"))
-    one = rows.groupBy("key").agg(F.min_by(F.struct("text", "_h"), F.struct("_h", "text")).alias("r"))
-    one = one.select("key", "r.text", F.col("r._h").alias("text_hash"))
+    one = _one_per_key(rows)
     known = spark.read.parquet(f"{folder}/documents").select("key") if _exists(spark, f"{folder}/documents") else None
     new = written(one.join(known, "key", "left_anti") if known is not None else one)
     total, fresh = articles.count(), new.count()

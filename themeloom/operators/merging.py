@@ -41,15 +41,16 @@ def merge_topics(
 
     ``merged_from`` and ``cluster_size`` are NULL on topics that stayed alone.
     """
-    joined = topics.join(
-        leaders.select(*within, number, "leader_no"), [*within, number], "left"
-    ).withColumn("leader_no", F.coalesce("leader_no", F.col(number).cast("int")))
     group = [*within, "leader_no"]
-    rows = joined.withColumn("part_no", _part(F.col(number), later, block_rows))
     members = F.array_sort(F.collect_list(F.struct(F.col(number).alias("no"), *TOPIC_FIELDS)))
     if later:
+        joined = topics.join(
+            leaders.select(*within, number, "leader_no"), [*within, number], "left"
+        ).withColumn("leader_no", F.coalesce("leader_no", F.col(number).cast("int")))
+        rows = joined.withColumn("part_no", _part(F.col(number), later, block_rows))
         parts = rows.groupBy(*group, "part_no").agg(members.alias("m"))
     else:
+        rows = _led_in_rows(topics, leaders, within, number)
         parts = rows.groupBy(*group).agg(members.alias("m")).withColumn("part_no", F.lit(0))
     # sums and bounded lists of each part, then of the whole group
     parts = parts.select(
@@ -102,6 +103,43 @@ def merge_topics(
     )
 
 
+def _gathered(topics: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """``keys, _topics``: each article's topics in one row, in order.
+
+    Merging and records both start from this: the same plan, so the topics are
+    shuffled once for the two.
+    """
+    topic = F.struct(F.col(number).alias("no"), F.struct(*TOPIC_FIELDS).alias("t"))
+    return topics.groupBy(*keys).agg(F.array_sort(F.collect_list(topic)).alias("_topics"))
+
+
+def _led_in_rows(
+    topics: DataFrame, leaders: DataFrame, within: list[str], number: str
+) -> DataFrame:
+    """Topics with ``leader_no``, their own number if they have none.
+
+    The leaders come to the article's row, so that no text is moved to meet them
+    and the rows stay laid out by article.
+    """
+    same_type = F.col(number).cast(topics.schema[number].dataType)
+    own = F.coalesce("leader_no", F.col(number).cast("int"))
+    taken = (
+        leaders.where(F.col(number).isNotNull())
+        .groupBy(*within, same_type.alias("_no"))
+        .agg(F.collect_list(own).alias("_leaders"))
+        .groupBy(*within)
+        .agg(F.map_from_entries(F.collect_list(F.struct("_no", "_leaders"))).alias("_led"))
+    )
+    led = lambda x: F.struct(
+        x.alias("x"), F.coalesce(F.element_at("_led", x["no"]), F.array(x["no"].cast("int"))).alias("leaders")
+    )
+    both = _gathered(topics, within, number).join(taken, within, "left")
+    rows = both.select(*within, F.explode(F.transform("_topics", led)).alias("r"))
+    return rows.select(*within, "r.x", F.explode("r.leaders").alias("leader_no")).select(
+        *within, F.col("x.no").alias(number), "x.t.*", "leader_no"
+    )
+
+
 def _with_group_values(
     parts: DataFrame, rows: DataFrame, group: list[str], quotes: int
 ) -> DataFrame:
@@ -166,11 +204,7 @@ def article_records(
     counted = topics.withColumn("part_no", _part(F.col(number), later, block_rows))
     # a constant part is no grouping key, so that one shuffle by article serves all
     keys = by if later else [key]
-    original = counted.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col(number).alias("no"), F.struct(*TOPIC_FIELDS).alias("t")))
-        ).alias("_topics")
-    )
+    original = _gathered(counted if later else topics, keys, number)
     clustered = merged.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from themeloom import fixed
 from themeloom.functions.text import bigrams
-from themeloom.operators.skew import salted_join
+from themeloom.operators.arrays import bound, by_value, runs
+from themeloom.operators.skew import salted_join, split_groups
 from themeloom.operators.terms import idf, term_counts, term_statistics, with_terms
 
 
@@ -35,6 +36,100 @@ def segment_topics(
     Weight is the sum of tf-idf within the article; the name is the three
     heaviest terms, the phrases are the first three distinct bigrams.
     """
+    segments = segments.where(F.col(key).isNotNull()).select(key, number, text)
+    ordinary, large = split_groups(segments, [key], F.length(text))
+    best = _best_in_rows(ordinary, key, number, text, max_topics, stop_words)
+    if large is not None:
+        best = best.unionByName(_spread_best(large, key, number, text, max_topics, stop_words))
+    phrases = F.slice(F.array_distinct(bigrams(F.col("terms"))), 1, 3)
+    return best.select(
+        key,
+        (F.col("rank") - 1).cast("int").alias("topic_no"),
+        F.array_join("top", " ").alias("name"),
+        first_sentence(F.col("_text")).alias("description"),
+        phrases.alias("key_phrases"),
+        F.greatest(F.lit(1), 11 - F.col("rank")).cast("double").alias("importance"),
+        F.array("_text").alias("supporting_quotes"),
+    )
+
+
+def _best_in_rows(
+    segments: DataFrame,
+    key: str,
+    number: str,
+    text: str,
+    max_topics: int,
+    stop_words: Iterable[str] | None,
+) -> DataFrame:
+    """``key, rank, top, terms, _text``: only the texts are shuffled, once, by article.
+
+    The rest is inside the article's row. Segments of one number are one segment
+    with several texts; each of them counts as a text of its own for the idf.
+    """
+    texts = with_terms(segments.repartition(key), text, stop_words)
+    row = F.struct(F.col(number).alias("no"), F.col(text).alias("text"), "terms")
+    articles = texts.groupBy(key).agg(F.collect_list(row).alias("_rows"))
+    articles = articles.select(
+        key, F.array_size("_rows").alias("_texts"), by_value(F.col("_rows"), lambda r: r["no"]).alias("_segments")
+    )
+
+    terms_of = lambda r: F.coalesce(r["terms"], F.array().cast("array<string>"))
+
+    def counted(segment: Column, i: Column) -> Column:
+        """``term, i, tf, texts`` of each distinct term of a segment."""
+        holding = lambda t: F.array_size(F.filter(segment["rows"], lambda r: F.array_contains(terms_of(r), t)))
+        return F.transform(
+            runs(F.sort_array(F.flatten(F.transform(segment["rows"], terms_of))), lambda t: t),
+            lambda run: F.struct(
+                F.get(run, F.lit(0)).alias("term"),
+                i.alias("i"),
+                F.array_size(run).alias("tf"),
+                F.when(F.array_size(segment["rows"]) == 1, 1).otherwise(holding(F.get(run, F.lit(0)))).alias("texts"),
+            ),
+        )
+
+    entries = F.sort_array(F.flatten(F.transform("_segments", counted)))
+
+    def weighted(run: Column) -> Column:
+        df = F.aggregate(run, F.lit(0), lambda acc, e: acc + e["texts"])
+        weight = lambda f: F.transform(
+            run, lambda e: F.struct(e["i"].alias("i"), (-F.round(e["tf"] * f, 6)).alias("w"), e["term"].alias("term"))
+        )
+        return bound(idf(F.col("_texts"), df), weight)
+
+    weights = F.sort_array(F.flatten(F.transform(runs(entries, lambda e: e["term"]), weighted)))
+    heads = F.transform(
+        runs(weights, lambda e: e["i"]),
+        lambda mine: F.struct(
+            F.round(F.aggregate(mine, F.lit(0.0), lambda acc, e: acc + e["w"]), 4).alias("order"),
+            F.get(F.col("_segments"), F.get(mine, F.lit(0))["i"])["id"].alias("no"),
+            F.get(mine, F.lit(0))["i"].alias("i"),
+            F.slice(mine["term"], 1, 3).alias("top"),
+        ),
+    )
+    best = F.transform(
+        F.slice(F.sort_array(heads), 1, max_topics),
+        lambda h, n: F.struct(
+            (n + 1).alias("rank"), h["top"].alias("top"), h["no"].alias("no"),
+            F.get(F.col("_segments"), h["i"])["rows"].alias("rows"),
+        ),
+    )
+    # a segment without a number takes a rank but gives no topic
+    found = articles.select(key, F.explode(best).alias("b")).where(F.col("b.no").isNotNull())
+    return found.select(key, "b.rank", "b.top", F.explode("b.rows").alias("r")).select(
+        key, "rank", "top", "r.terms", F.col("r.text").alias("_text")
+    )
+
+
+def _spread_best(
+    segments: DataFrame,
+    key: str,
+    number: str,
+    text: str,
+    max_topics: int,
+    stop_words: Iterable[str] | None,
+) -> DataFrame:
+    """The same for articles of any size, by shuffles over (article, term)."""
     texts = with_terms(segments, text, stop_words)
     statistics = term_statistics(texts, [key])
     sizes = segments.groupBy(key).agg(F.count("*").alias("texts"))
@@ -57,18 +152,8 @@ def segment_topics(
         .withColumn("rank", rank)
         .where(F.col("rank") <= max_topics)
     )
-    phrases = F.slice(F.array_distinct(bigrams(F.col("terms"))), 1, 3)
-    return best.join(
-        texts.select(key, number, F.col(text).alias("_text"), phrases.alias("key_phrases")),
-        [key, number],
-    ).select(
-        key,
-        (F.col("rank") - 1).cast("int").alias("topic_no"),
-        F.array_join("top", " ").alias("name"),
-        first_sentence(F.col("_text")).alias("description"),
-        "key_phrases",
-        F.greatest(F.lit(1), 11 - F.col("rank")).cast("double").alias("importance"),
-        F.array("_text").alias("supporting_quotes"),
+    return best.join(texts.select(key, number, "terms", F.col(text).alias("_text")), [key, number]).select(
+        key, "rank", "top", "terms", "_text"
     )
 
 

@@ -1,8 +1,8 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins and groups that stay even when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators.storage import written
@@ -10,6 +10,8 @@ from themeloom.operators.storage import written
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
 SALTS = 64
+GROUP_ROWS = 1000  # rows of a group that are worked as one row, at most
+GROUP_CHARS = 1_000_000  # and their characters
 
 
 def salted_join(
@@ -48,3 +50,25 @@ def salted_join(
         .drop("_hot")
     )
     return many.join(one, [*keys, "_salt"], how).drop("_salt")
+
+
+def split_groups(
+    rows: DataFrame, within: list[str], chars: Column | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary groups, and those of groups too large for one row, if any.
+
+    A group is large if it has more than ``GROUP_ROWS`` rows or, where ``chars`` gives
+    a row's characters, more than ``GROUP_CHARS`` of them.
+    """
+    total = F.lit(0) if chars is None else F.coalesce(F.sum(chars), F.lit(0))
+    sizes = rows.groupBy(*within).agg(F.count("*").alias("_n"), total.alias("_chars"))
+    names = [f"_w{i}" for i in range(len(within))]
+    large = written(
+        sizes.where((F.col("_n") > GROUP_ROWS) | (F.col("_chars") > GROUP_CHARS)).select(
+            *[F.col(c).alias(g) for c, g in zip(within, names)]
+        )
+    )
+    if large.isEmpty():
+        return rows, None
+    on = [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(within, names)]
+    return rows.join(large, on, "left_anti"), rows.join(large, on, "left_semi")

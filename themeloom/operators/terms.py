@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import bigrams, tokens, without_stop_words
-from themeloom.operators.arrays import exploded
-from themeloom.operators.skew import salted_join
+from themeloom.operators.arrays import bound, by_value, exploded, runs
+from themeloom.operators.skew import salted_join, split_groups
 from themeloom.operators.storage import written
 
 PAIR_WORDS = 10_000  # words whose bigrams are looked for by a list, at most
@@ -117,6 +117,71 @@ def tfidf_vectors(
     """
     if not within:
         return _corpus_vectors(texts, keys, size, pairs)
+    ordinary, large = split_groups(texts, within)
+    vectors = _vectors_in_rows(ordinary, keys, size, within)
+    if large is None:
+        return vectors
+    return vectors.unionByName(_spread_vectors(large, keys, size, within))
+
+
+def _vectors_in_rows(texts: DataFrame, keys: list[str], size: int, within: list[str]) -> DataFrame:
+    """Each group is gathered in one row, with the one shuffle there is, and fitted inside it."""
+    own = [c for c in keys if c not in within]
+    id_of = lambda r: r[own[0]] if len(own) == 1 else F.struct(F.lit(0).alias("_"), *[r[c].alias(c) for c in own])
+    groups = (
+        counted_terms(texts, keys)
+        .groupBy(*within)
+        .agg(F.collect_list(F.struct(*own, "terms", "tf")).alias("_rows"))
+    )
+    entries = F.flatten(
+        F.transform(
+            "_rows",
+            lambda r: F.zip_with(r["terms"], r["tf"], lambda t, n: F.struct(t.alias("term"), n.alias("tf"))),
+        )
+    )
+    texts_in = F.array_size("_rows")
+    found = F.transform(
+        runs(F.sort_array(entries), lambda e: e["term"]),
+        lambda run: F.struct(
+            (-F.aggregate(run, F.lit(0).cast("bigint"), lambda acc, e: acc + e["tf"])).alias("cf"),
+            F.get(run, F.lit(0))["term"].alias("term"),
+            idf(texts_in, F.array_size(run)).alias("idf"),
+        ),
+    )
+    # a group without a key has no vocabulary
+    known = F.lit(True)
+    for c in within:
+        known = known & F.col(c).isNotNull()
+    vocab = F.slice(F.sort_array(F.when(known, found).otherwise(F.slice(found, 1, 0))), 1, size)
+
+    def count(rows: Column, term: Column) -> Column:
+        at = lambda r: F.get(r["tf"], F.array_position(r["terms"], term).cast("int") - 1)
+        return F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, r: acc + F.coalesce(at(r), F.lit(0)))
+
+    def weighted(rows: Column, vocab: Column) -> Column:
+        entry = lambda v, i: bound(
+            count(rows, v["term"]),
+            lambda tf: F.when(
+                tf > 0, F.struct((i + 1).alias("slot"), v["term"].alias("term"), (tf * v["idf"]).alias("raw"))
+            ),
+        )
+        return F.filter(F.transform(vocab, entry), lambda e: e.isNotNull())
+
+    vectors = bound(
+        vocab,
+        lambda v: F.transform(
+            by_value(F.col("_rows"), id_of), lambda x: F.struct(x["id"].alias("id"), weighted(x["rows"], v).alias("vector"))
+        ),
+    )
+    out = groups.select(*within, F.explode(vectors).alias("_x"))
+    id_column = lambda c: F.col("_x.id") if len(own) == 1 else F.col(f"_x.id.{c}")
+    return out.select(
+        *[F.col(c) if c in within else id_column(c).alias(c) for c in keys], F.col("_x.vector").alias("vector")
+    ).select(*keys, _unit(F.col("vector")).alias("vector"))
+
+
+def _spread_vectors(texts: DataFrame, keys: list[str], size: int, within: list[str]) -> DataFrame:
+    """The same for groups of any size, by shuffles over (group, term)."""
     vocab = vocabulary(term_statistics(texts, within), size, within)
     sizes = texts.groupBy(*within).agg(F.count("*").alias("texts"))
     vocab = vocab.join(sizes, within).withColumn("idf", idf(F.col("texts"), F.col("df")))

@@ -135,7 +135,7 @@ def stage1(
         responses = topic_responses(articles, key, settings, None)
     # read by vectors, merging and records alike
     parsed = written(parsed_responses(articles, responses, key))
-    topics = written(topics_of(parsed, key))
+    topics = topics_of(parsed, key)
     kept = [c for c in articles.columns if c not in ("content", "error")]
     outcome = articles.join(
         parsed.select(key, F.col("error").alias("_failed")), key, "left"

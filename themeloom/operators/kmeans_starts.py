@@ -9,6 +9,10 @@ iterations then scan the rows once for all starts still moving: each task return
 start, the sums, counts and cost of its rows, which Spark adds up. The start of least
 cost wins (ties by seed). Only centres and partial sums (starts x k x d numbers, for
 at most COLLECTED_PARTS tasks; beyond, Spark adds them first) reach the driver.
+
+All these scans read the points from blocks of rows packed once as bytes, the zeros
+left out where that is shorter. A block is made dense in the task that reads it, at
+most BLOCK_NUMBERS numbers at a time, and meets the centres of all starts in one product.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ ROUNDS = 2
 OVERSAMPLING = 2.0
 PARTIAL = "start int, sums array<double>, counts array<long>, cost double"
 COLLECTED_PARTS = 64  # up to so many tasks, partial sums are added on the driver
+BLOCK_ROWS = 1024
+BLOCK_NUMBERS = 1 << 20  # of one block, made dense
+POINTS = ["n", "d", "filled", "columns", "numbers"]
+BLOCKS = "keys array<string>, n int, d int, filled binary, columns binary, numbers binary"
 
 
 def _uniform(keys: np.ndarray, seed: int, round_no: int) -> np.ndarray:
@@ -44,6 +52,47 @@ def _rows(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return batch["key"].to_numpy(), np.stack(batch["x"].to_numpy()).astype(float)
 
 
+def _column_type(d: int) -> type:
+    return np.uint16 if d <= 1 << 16 else np.int64
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of rows: numbers per row, their columns and values, or all numbers if shorter."""
+    for batch in batches:
+        if batch.empty:
+            continue
+        keys, points = _rows(batch)
+        keys, d = keys.astype(str), points.shape[1]
+        step = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, d)))
+        for at in range(0, len(points), step):
+            part = points[at : at + step]
+            row, column = np.nonzero(part)
+            filled, columns = np.bincount(row, minlength=len(part)).astype(np.int32), column.astype(_column_type(d))
+            numbers = part[row, column]
+            if filled.nbytes + columns.nbytes + numbers.nbytes >= part.nbytes:
+                filled, columns, numbers = filled[:0], columns[:0], part
+            yield pd.DataFrame({
+                "keys": [keys[at : at + step].tolist()], "n": len(part), "d": d,
+                "filled": filled.tobytes(), "columns": columns.tobytes(), "numbers": numbers.tobytes(),
+            })
+
+
+def _unpack(n: int, d: int, filled: bytes, columns: bytes, numbers: bytes) -> np.ndarray:
+    values = np.frombuffer(numbers)
+    if not filled:
+        return values.reshape(n, d)
+    points = np.zeros((n, d))
+    starts = np.repeat(np.arange(n, dtype=np.int64) * d, np.frombuffer(filled, np.int32))
+    points.ravel()[starts + np.frombuffer(columns, _column_type(d))] = values
+    return points
+
+
+def _points(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for block in zip(*[batch[c] for c in POINTS], strict=True):
+            yield _unpack(*block)
+
+
 def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Weighted k-means++ over the few candidates, then Lloyd on them."""
     chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
@@ -60,59 +109,53 @@ def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.G
     return centres
 
 
-def seed_all(x: DataFrame, k: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
-    """k starting centres per seed, by k-means|| with shared scans."""
+def seed_all(x: DataFrame, blocks: DataFrame, k: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """k starting centres per seed, by k-means|| with shared scans; ``blocks`` are ``x`` packed."""
     first = x.select(
         *[F.min_by("x", F.xxhash64(F.col("key").cast("string"), F.lit(s))).alias(f"s{i}") for i, s in enumerate(seeds)]
     ).first()
     candidates = [np.array([first[f"s{i}"]], dtype=float) for i in range(len(seeds))]
+    points_of = blocks.select(*POINTS)
     for round_no in range(ROUNDS):
         held = [c.copy() for c in candidates]
 
         def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             totals = np.zeros(len(seeds))
-            for batch in batches:
-                if batch.empty:
-                    continue
-                _, points = _rows(batch)
+            for points in _points(batches):
                 for i, c in enumerate(held):
                     totals[i] += _distances(points, c).min(1).sum()
             yield pd.DataFrame({"start": range(len(seeds)), "cost": totals})
 
-        costs = x.mapInPandas(cost, "start long, cost double").groupBy("start").agg(F.sum("cost").alias("cost")).collect()
+        costs = points_of.mapInPandas(cost, "start long, cost double").groupBy("start").agg(F.sum("cost").alias("cost")).collect()
         phi = {int(r["start"]): float(r["cost"]) for r in costs}
 
         def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if batch.empty:
-                    continue
-                keys, points = _rows(batch)
-                for i, c in enumerate(held):
-                    if phi[i] <= 0:
-                        continue
-                    d = _distances(points, c).min(1)
-                    p = np.minimum(1.0, OVERSAMPLING * k * d / phi[i])
-                    taken = _uniform(keys, seeds[i], round_no) < p
-                    if taken.any():
-                        yield pd.DataFrame({"start": i, "x": list(points[taken])})
+                for names, points in zip(batch["keys"], _points(iter([batch])), strict=True):
+                    keys = np.array(names, dtype=str)
+                    for i, c in enumerate(held):
+                        if phi[i] <= 0:
+                            continue
+                        d = _distances(points, c).min(1)
+                        p = np.minimum(1.0, OVERSAMPLING * k * d / phi[i])
+                        taken = _uniform(keys, seeds[i], round_no) < p
+                        if taken.any():
+                            yield pd.DataFrame({"start": i, "x": list(points[taken])})
 
         # about oversampling * k rows a start a round: the driver holds them
-        for r in x.mapInPandas(sample, "start int, x array<double>").collect():
+        for r in blocks.mapInPandas(sample, "start int, x array<double>").collect():
             candidates[r["start"]] = np.vstack([candidates[r["start"]], np.asarray(r["x"])])
     held = [c.copy() for c in candidates]
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = [np.zeros(len(c), dtype=np.int64) for c in held]
-        for batch in batches:
-            if batch.empty:
-                continue
-            _, points = _rows(batch)
+        for points in _points(batches):
             for i, c in enumerate(held):
                 counts[i] += np.bincount(_distances(points, c).argmin(1), minlength=len(c))
         yield pd.DataFrame({"start": range(len(seeds)), "counts": [list(c) for c in counts]})
 
     weights = [np.zeros(len(c)) for c in held]
-    for r in x.mapInPandas(weigh, "start int, counts array<long>").collect():
+    for r in points_of.mapInPandas(weigh, "start int, counts array<long>").collect():
         weights[r["start"]] += np.asarray(r["counts"], dtype=float)
     out = []
     for i, seed in enumerate(seeds):
@@ -129,32 +172,35 @@ def seed_all(x: DataFrame, k: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
 def _partials(centres: list[np.ndarray], active: list[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, d = centres[0].shape
-        sums = {i: np.zeros((k, d)) for i in active}
-        counts = {i: np.zeros(k, dtype=np.int64) for i in active}
-        costs = dict.fromkeys(active, 0.0)
-        for batch in batches:
-            if batch.empty:
-                continue
-            _, points = _rows(batch)
-            squares = (points * points).sum(1)[:, None]
-            for i in active:
-                c = centres[i]
-                dist = np.maximum(squares - 2 * points @ c.T + (c * c).sum(1)[None, :], 0.0)
-                nearest = dist.argmin(1)
-                costs[i] += float(dist[np.arange(len(points)), nearest].sum())
-                member = np.zeros((len(points), k))
-                member[np.arange(len(points)), nearest] = 1.0
-                sums[i] += member.T @ points
-                counts[i] += np.bincount(nearest, minlength=k)
+        every = np.vstack([centres[i] for i in active])
+        norms = (every * every).sum(1)
+        own = np.arange(len(active)) * k
+        sums, counts = np.zeros((len(every), d)), np.zeros(len(every), dtype=np.int64)
+        costs = np.zeros(len(active))
+        for points in _points(batches):
+            dist = points @ every.T
+            dist *= -2
+            dist += (points * points).sum(1)[:, None]
+            dist += norms
+            np.maximum(dist, 0.0, out=dist)
+            nearest = dist.reshape(len(points), len(active), k).argmin(2) + own
+            costs += np.take_along_axis(dist, nearest, 1).sum(0)
+            member = dist  # its numbers are no longer needed
+            member.fill(0.0)
+            np.put_along_axis(member, nearest, 1.0, 1)
+            sums += member.T @ points
+            counts += np.bincount(nearest.ravel(), minlength=len(every))
         yield pd.DataFrame({
-            "start": active, "sums": [sums[i].ravel() for i in active],
-            "counts": [counts[i] for i in active], "cost": [costs[i] for i in active],
+            "start": active, "sums": [sums[i : i + k].ravel() for i in own],
+            "counts": [counts[i : i + k] for i in own], "cost": costs,
         })
 
     return run
 
 
-def _added(centres: list[np.ndarray], x: DataFrame, active: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+def _added(
+    centres: list[np.ndarray], points: DataFrame, parts: int, active: list[int]
+) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     k, d = centres[0].shape
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -165,8 +211,8 @@ def _added(centres: list[np.ndarray], x: DataFrame, active: list[int]) -> dict[i
             "cost": [float(group["cost"].sum())],
         })
 
-    partials = x.mapInPandas(_partials(centres, active), PARTIAL)
-    if x.rdd.getNumPartitions() > COLLECTED_PARTS:
+    partials = points.mapInPandas(_partials(centres, active), PARTIAL)
+    if parts > COLLECTED_PARTS:
         partials = partials.groupBy("start").applyInPandas(add, PARTIAL)
     # else the few partial sums (parts x starts x k x d) are added on the driver
     out = {}
@@ -191,18 +237,19 @@ def fit_kmeans_starts(
 ) -> Clustering:
     """Best of one start per seed, all fitted by the same scans; clusters are numbered
     by their lowest key. A start stops when no centre moves more than ``tol``; an empty
-    cluster keeps its centre."""
+    cluster keeps its centre. ``vectors`` is read more than once: a written table."""
     if k == 1:
         return _one_cluster(vectors, key, features, seeds[0])
-    x = written(vectors.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x")))
+    x = vectors.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"))
     # scanned once an iteration: kept by the executors, spilled to their disks if need be
-    x = x.persist(StorageLevel.MEMORY_AND_DISK)
-    centres = seed_all(x, k, seeds)
+    blocks = written(x.mapInPandas(_pack, BLOCKS)).persist(StorageLevel.MEMORY_AND_DISK)
+    points, parts = blocks.select(*POINTS), blocks.rdd.getNumPartitions()
+    centres = seed_all(x, blocks, k, seeds)
     active = list(range(len(seeds)))
     for _ in range(max_iter):
         if not active:
             break
-        added = _added(centres, x, active)
+        added = _added(centres, points, parts, active)
         still = []
         for i in active:
             sums, counts, _ = added[i]
@@ -214,7 +261,7 @@ def fit_kmeans_starts(
             if shift > tol:
                 still.append(i)
         active = still
-    final = _added(centres, x, list(range(len(seeds))))
+    final = _added(centres, points, parts, list(range(len(seeds))))
     cost, best = min((final[i][2], seeds[i], i) for i in range(len(seeds)))[0::2]
     chosen = centres[best]
     seed = seeds[best]
@@ -229,5 +276,5 @@ def fit_kmeans_starts(
     order = [r["prediction"] for r in sorted(lowest, key=lambda r: r["lowest"])]
     number = F.coalesce(*[F.when(F.col("prediction") == p, F.lit(i)) for i, p in enumerate(order)])
     assigned = labelled.select(F.col("key").alias(key), number.cast("int").alias("cluster_number"))
-    x.unpersist()
+    blocks.unpersist()
     return Clustering(assigned, [chosen[p].tolist() for p in order], float(cost), seed)

@@ -1,20 +1,23 @@
 """Terms, vocabularies and TF-IDF vectors.
 
 Texts stay one row each until terms are counted. Vocabulary statistics come from
-one exploded pass that is summed before the shuffle, so what moves is distinct
-terms per task, not tokens.
+one pass that is summed before the shuffle, so what moves is distinct terms per
+task, not tokens. In passes over a whole corpus the terms of a slice of an Arrow
+batch are numbered, and counted by number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from themeloom.functions.text import bigrams, tokens, without_stop_words
 from themeloom.operators.arrays import bound, by_value, exploded, runs
@@ -22,6 +25,8 @@ from themeloom.operators.skew import salted_join, split_groups
 from themeloom.operators.storage import written
 
 PAIR_WORDS = 10_000  # words whose bigrams are looked for by a list, at most
+SLICE_TERMS = 750_000  # terms, or numbers of vectors, of one step inside an Arrow batch
+BATCH_BYTES = 8 << 20
 
 
 def with_terms(
@@ -68,12 +73,59 @@ def counted_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _slices(lists: pa.Array, width: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with up to SLICE_TERMS terms, and numbers if each row makes ``width``; one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        full = np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_TERMS, "right")
+        rows = min(full - at, SLICE_TERMS // width if width else len(ends))
+        yield at, max(1, int(rows))
+        at += max(1, int(rows))
+
+
+def _coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and number of each term, and the terms by number."""
+    coded = lists.flatten().dictionary_encode("encode")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lists)), lengths), codes, coded.dictionary
+
+
+def _bounded_batches(df: DataFrame) -> None:
+    """Arrow batches by size, unless the session sets one: 10,000 long texts are too much for one."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1), "2147483647b"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def _statistics_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(0)
+        for at, n in _slices(lists):
+            row, code, names = _coded(lists.slice(at, n))
+            cf = np.bincount(code, minlength=len(names))
+            row *= len(names)
+            row += code
+            row.sort()
+            once = row[np.flatnonzero(np.diff(row, append=-1))]  # each term of a text once
+            df = np.bincount(once % max(1, len(names)), minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array(cf), pa.array(df)], names=["term", "cf", "df"])
+
+
 def term_statistics(texts: DataFrame, within: list[str] = []) -> DataFrame:
     """``within, term, cf, df``: total count and number of texts of each term.
 
-    Sorting a row's terms lets the last of each run stand for the text, so both
-    counts come from one pass without grouping by text.
+    Over all texts, each slice of an Arrow batch is counted by numbers and the counts
+    are summed. Within groups, sorting a row's terms lets the last of each run stand
+    for the text, so both counts come from one pass without grouping by text.
     """
+    if not within:
+        _bounded_batches(texts)
+        counted = texts.select("terms").mapInArrow(_statistics_of, "term string, cf bigint, df bigint")
+        return counted.groupBy("term").agg(
+            F.coalesce(F.sum("cf"), F.lit(0)).alias("cf"), F.sum("df").alias("df")
+        )
     runs = F.zip_with(
         "terms",
         F.slice("terms", F.lit(2), F.greatest(F.array_size("terms") - 1, F.lit(0))),
@@ -212,6 +264,36 @@ def with_pairs(texts: DataFrame) -> DataFrame:
     return texts.withColumn("terms", F.concat("terms", bigrams(F.col("terms"))))
 
 
+def _numbered(code: np.ndarray, names: pa.Array, words: pa.Array) -> np.ndarray:
+    """The place in ``words`` of each coded term, or -1."""
+    known = pc.fill_null(pc.index_in(names, value_set=words), -1).to_numpy(zero_copy_only=False)
+    return known[code].astype(np.int64)
+
+
+def _neighbours(row: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Where a term and the next one of its text both have a number."""
+    return np.flatnonzero((word[:-1] >= 0) & (word[1:] >= 0) & (row[:-1] == row[1:]))
+
+
+def _pairs_of(known: list[str]):
+    """Per text its bigrams of two known words."""
+    words = pa.array(known, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in _slices(batch.column(0)):
+                row, code, names = _coded(batch.column(0).slice(at, n))
+                word = _numbered(code, names, words)
+                both = _neighbours(row, word)
+                coded = pa.array(word[both] * len(known) + word[both + 1]).dictionary_encode()
+                terms = [f"{known[x // len(known)]} {known[x % len(known)]}" for x in coded.dictionary.to_pylist()]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[both], minlength=n))]).astype(np.int32)
+                found = pa.array(terms, pa.string()).take(coded.indices)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), found)], names=["terms"])
+
+    return run
+
+
 def _vocabulary_with_pairs(texts: DataFrame, size: int) -> DataFrame:
     """The vocabulary of the words in ``terms`` and their bigrams, exact.
 
@@ -226,13 +308,8 @@ def _vocabulary_with_pairs(texts: DataFrame, size: int) -> DataFrame:
     known = [r["term"] for r in words.where(F.col("cf") >= least).select("term").limit(PAIR_WORDS + 1).collect()]
     if len(known) > PAIR_WORDS:
         return vocabulary(term_statistics(with_pairs(texts)), size)
-    n = F.greatest(F.array_size("terms") - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice("terms", F.lit(1), n),
-        F.slice("terms", F.lit(2), n),
-        lambda a, b: F.when(a.isin(known) & b.isin(known), F.concat(a, F.lit(" "), b)),
-    )
-    counted = term_statistics(texts.select(F.filter(pairs, lambda p: p.isNotNull()).alias("terms")))
+    _bounded_batches(texts)
+    counted = term_statistics(texts.select("terms").mapInArrow(_pairs_of(known), "terms array<string>"))
     return vocabulary(words.unionByName(counted), size)
 
 
@@ -245,30 +322,63 @@ def fit_corpus(texts: DataFrame, size: int, pairs: bool = False) -> Fit:
     return Fit([r["term"] for r in rows], [r["idf"] for r in rows])
 
 
-def corpus_features(texts: DataFrame, keys: list[str], fit: Fit) -> DataFrame:
+def _places(fit: Fit, pairs: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words that make up the fitted terms, the slot of each, or -1, and the slots of
+    pairs of words by ``left * number of words + right``, in order."""
+    halves = [(t[:i], t[i + 1 :], at) for at, t in enumerate(fit.terms) for i, c in enumerate(t) if pairs and c == " "]
+    words = list(dict.fromkeys([*fit.terms, *[w for a, b, _ in halves for w in (a, b)]]))
+    number = {w: i for i, w in enumerate(words)}
+    slot = np.full(len(words), -1, dtype=np.int64)
+    slot[: len(fit.terms)] = np.arange(len(fit.terms))
+    found = sorted((number[a] * len(words) + number[b], at) for a, b, at in halves)
+    return pa.array(words, pa.string()), slot, np.array([x for x, _ in found]), np.array([x for _, x in found])
+
+
+def corpus_features(texts: DataFrame, keys: list[str], fit: Fit, pairs: bool = False) -> DataFrame:
     """``keys, features``: dense weights of norm one, all zero without terms.
 
-    Counting against a fitted vocabulary is one pass over the rows, no shuffle.
+    Counting against a fitted vocabulary is one pass over the rows, no shuffle. With
+    ``pairs`` the bigrams of the terms count as terms, without being made: neighbours
+    are looked up as two numbers.
     """
     if not fit.terms:
         return texts.select(*keys, F.array().cast("array<double>").alias("features"))
-    model = CountVectorizerModel.from_vocabulary(fit.terms, "terms", "_counts")
-    counts = model.transform(texts).select(*keys, vector_to_array("_counts").alias("_tf"))
-    factors = F.array(*[F.lit(x) for x in fit.idf])
-    raw = counts.select(*keys, F.zip_with("_tf", factors, lambda n, x: n * x).alias("_raw"))
-    squares = F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x * x)
-    scaled = F.transform(
-        F.array(F.sqrt(squares)),
-        lambda norm: F.when(norm > 0, F.transform("_raw", lambda x: x / norm)).otherwise(
-            F.col("_raw")
-        ),
-    )
-    return raw.select(*keys, F.get(scaled, F.lit(0)).alias("features"))
+    size, factors = len(fit.terms), np.array(fit.idf)
+    words, slot, left_right, pair_slot = _places(fit, pairs)
+
+    def count(lists: pa.Array) -> np.ndarray:
+        row, code, names = _coded(lists)
+        word = _numbered(code, names, words)
+        at = np.where(word >= 0, slot[word], -1)
+        places = [(row * size + at)[at >= 0]]
+        if len(left_right):
+            both = _neighbours(row, word)
+            asked = word[both] * len(words) + word[both + 1]
+            near = np.minimum(np.searchsorted(left_right, asked), len(left_right) - 1)
+            hit = left_right[near] == asked
+            places.append(row[both[hit]] * size + pair_slot[near[hit]])
+        return np.bincount(np.concatenate(places), minlength=len(lists) * size).reshape(len(lists), size)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            for at, n in _slices(lists, size):
+                raw = count(lists.slice(at, n)) * factors
+                norm = np.sqrt(np.cumsum(raw * raw, axis=1)[:, -1:])
+                np.divide(raw, norm, out=raw, where=norm > 0)
+                ends = pa.array(np.arange(0, (n + 1) * size, size, dtype=np.int32))
+                made = pa.ListArray.from_arrays(ends, pa.array(raw.ravel()))
+                own = [c.slice(at, n) for c in batch.columns[: len(keys)]]
+                yield pa.RecordBatch.from_arrays([*own, made], names=[*keys, "features"])
+
+    _bounded_batches(texts)
+    taken = texts.select(*keys, "terms")
+    schema = StructType([*taken.schema.fields[: len(keys)], StructField("features", ArrayType(DoubleType()))])
+    return taken.mapInArrow(features, schema)
 
 
 def _corpus_vectors(texts: DataFrame, keys: list[str], size: int, pairs: bool) -> DataFrame:
     fit = fit_corpus(texts, size, pairs)
-    texts = with_pairs(texts) if pairs else texts
     names = F.array(*[F.lit(t) for t in fit.terms]).cast("array<string>")
     entries = F.transform(
         "features",
@@ -276,7 +386,7 @@ def _corpus_vectors(texts: DataFrame, keys: list[str], size: int, pairs: bool) -
             (i + 1).alias("slot"), F.get(names, i).alias("term"), w.alias("w")
         ),
     )
-    return corpus_features(texts, keys, fit).select(
+    return corpus_features(texts, keys, fit, pairs).select(
         *keys, F.filter(entries, lambda e: e["w"] > 0).alias("vector")
     )
 

@@ -19,7 +19,7 @@ from themeloom.operators.responder import cluster_answers, theme_answers
 from themeloom.operators.rollups import stage1_summary, stage2_summary, successful_records
 from themeloom.operators.silhouette import silhouette
 from themeloom.operators.storage import written
-from themeloom.operators.terms import corpus_features, fit_corpus, with_pairs, with_terms
+from themeloom.operators.terms import corpus_features, fit_corpus, with_terms
 from themeloom.settings import Settings
 
 
@@ -86,7 +86,7 @@ def theme_texts(theme_rows: DataFrame, key: str) -> DataFrame:
 def article_vectors(texts: DataFrame, key: str, settings: Settings) -> DataFrame:
     """``key, features``: dense TF-IDF over one- and two-word terms."""
     words = written(with_terms(texts.select(key, "text"), "text").select(key, "terms"))
-    return corpus_features(with_pairs(words), [key], fit_corpus(words, settings.article_terms, pairs=True))
+    return corpus_features(words, [key], fit_corpus(words, settings.article_terms, pairs=True), pairs=True)
 
 
 def cluster_analysis(
